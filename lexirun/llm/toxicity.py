@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, cut
-from .shingles import _seen
+from .shingles import hashes_of
 
 #: Labelled rows that the models are fitted on at most: those whose ids hash lowest. This bounds what the driver holds.
 TRAIN_ROWS = 6000
@@ -41,7 +41,7 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     once = set(words)
     tokens = once | {w[:size] + b"*" for size in PREFIXES for w in once if len(w) > size}
-    distinct = np.unique(np.fromiter(map(_seen.__getitem__, tokens), np.uint64, len(tokens)))
+    distinct = np.sort(hashes_of(tokens))
     upper, symbols, digits = (n - len(data.translate(None, drop)) for drop in (_UPPER, _SYMBOLS, b"0123456789"))
     size = max(n, 1)
     numbers = np.array([np.log1p(len(words)), upper / size, symbols / size, digits / size, len(once) / max(len(words), 1), n / max(len(words), 1) / 10], np.float64)
