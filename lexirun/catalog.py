@@ -1,10 +1,351 @@
-"""All queries by name, and the same in SQL."""
+"""All queries by name, each over whole tables; oracles.py has the same in SQL.
+
+Two corpora: the documents, searched for benchmark passages; and the part names of each part size, in the order of
+their keys, as collections of strings, which are small, repetitive and indexed in full.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import statistics
+from .operators import corpus as C
+from .operators import patterns as P
+from .operators import primitives as Q
+from .operators import runs as R
+from .operators import samples as S
+from .operators import search as U
+from .operators import suffix as X
+from .oracles import ORACLES
+from .plans.index import build_index
+
+__all__ = ["ORACLES", "QUERIES"]
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+STEP, FIXED, DRAWN, NEWLINE, MOST = 8, 16, 200, 10, 1
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.from_strings(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pat_id"), F.encode("text", "utf-8").alias("pattern"))
+
+
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.collections(_table(spark, sf_dir, "part"), "p_size", "p_partkey", "p_name")
+
+
+def name_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct part name, and each read backwards, which mostly doesn't occur."""
+    part = _table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").cast("bigint").alias("k"))
+    both = part.select((2 * F.col("k")).alias("pat_id"), "p_name").unionByName(part.select((2 * F.col("k") + 1).alias("pat_id"), F.reverse("p_name").alias("p_name")))
+    return both.select("pat_id", F.encode("p_name", "utf-8").alias("pattern"))
+
+
+def name_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.suffixes(names(spark, sf_dir))
+
+
+def name_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.runs(name_suffixes(spark, sf_dir))
+
+
+def _sizes(found: DataFrame) -> DataFrame:
+    return found.groupBy("text_id").agg(F.sum("len").alias("n"))
+
+
+def _places(found: DataFrame, *at: str) -> DataFrame:
+    """text_id, i: for each text the positions that the expressions over n give."""
+    return _sizes(found).select("text_id", F.explode(F.array_distinct(F.array(*[F.expr(f"cast({a} as bigint)") for a in at]))).alias("i"))
+
+
+def _symbol_places(found: DataFrame, *at: str) -> DataFrame:
+    return _places(found, *at).join(found.select("text_id", "sym").distinct(), "text_id")
+
+
+@query
+def locate_benchmark_in_documents(spark, sf_dir):
+    return U.locate(documents(spark, sf_dir), passages(spark, sf_dir))
+
+
+@query
+def locate_benchmark_by_seeds(spark, sf_dir):
+    return U.locate(documents(spark, sf_dir), passages(spark, sf_dir), "seeds")
+
+
+@query
+def count_benchmark_in_documents(spark, sf_dir):
+    return U.count(documents(spark, sf_dir), passages(spark, sf_dir))
+
+
+@query
+def count_statistics(spark, sf_dir):
+    asked = passages(spark, sf_dir)
+    return U.query_statistics(U.count(documents(spark, sf_dir), asked), asked)
+
+
+@query
+def qgram_count_fixed_len(spark, sf_dir):
+    first = passages(spark, sf_dir).filter(F.octet_length("pattern") >= FIXED).select("pat_id", F.expr(f"substring(pattern, 1, {FIXED})").alias("pattern"))
+    return U.count(documents(spark, sf_dir), first)
+
+
+@query
+def pattern_sample_forbidden(spark, sf_dir):
+    drawn = P.sample_patterns(documents(spark, sf_dir), DRAWN, 2 * FIXED, NEWLINE)
+    return drawn.select("pat_id", "text_id", "pos", F.hex("pattern").alias("pattern"))
+
+
+@query
+def pattern_filter_max_freq(spark, sf_dir):
+    return P.at_most(documents(spark, sf_dir), passages(spark, sf_dir), MOST).select("pat_id", F.hex("pattern").alias("pattern"), "n_occ")
+
+
+@query
+def pattern_fasta(spark, sf_dir):
+    return P.fasta(passages(spark, sf_dir))
+
+
+@query
+def symbol_histogram(spark, sf_dir):
+    return R.symbol_histogram(documents(spark, sf_dir))
+
+
+@query
+def c_array(spark, sf_dir):
+    return R.alphabet(R.symbol_histogram(documents(spark, sf_dir))).select("sym", "c_lo")
+
+
+@query
+def effective_alphabet(spark, sf_dir):
+    return R.alphabet(R.symbol_histogram(documents(spark, sf_dir))).select("sym", "code", "freq")
+
+
+@query
+def suffix_array_part_names(spark, sf_dir):
+    return name_suffixes(spark, sf_dir).select("text_id", "i", "pos")
+
+
+@query
+def suffix_array_by_window(spark, sf_dir):
+    nation = C.from_strings(_table(spark, sf_dir, "nation"), "n_nationkey", "n_name")
+    return X.suffixes_by_window(nation)
+
+
+@query
+def bwt_part_names(spark, sf_dir):
+    return name_suffixes(spark, sf_dir).select("text_id", "i", "sym")
+
+
+@query
+def rle_runs_part_names(spark, sf_dir):
+    return name_runs(spark, sf_dir).select("text_id", "run_id", "sym", "head_i", "len", "rank_before")
+
+
+@query
+def rle_roundtrip(spark, sf_dir):
+    return R.expand(name_runs(spark, sf_dir))
+
+
+@query
+def separator_run_split(spark, sf_dir):
+    return R.split_separators(name_runs(spark, sf_dir), C.SEPARATOR)
+
+
+@query
+def run_heads_tails(spark, sf_dir):
+    return name_runs(spark, sf_dir).select("text_id", "run_id", "head_sa", "tail_sa")
+
+
+@query
+def c_table_part_names(spark, sf_dir):
+    return R.c_table(name_runs(spark, sf_dir))
+
+
+@query
+def access_points(spark, sf_dir):
+    found = name_runs(spark, sf_dir)
+    return Q.access(found, _places(found, "0", "n div 2", "n - 1", "n"))
+
+
+@query
+def rank_points(spark, sf_dir):
+    found = name_runs(spark, sf_dir)
+    return Q.rank(found, _symbol_places(found, "0", "n div 3", "n div 2", "n"))
+
+
+@query
+def range_rank_points(spark, sf_dir):
+    found = name_runs(spark, sf_dir)
+    ends = _sizes(found).join(found.select("text_id", "sym").distinct(), "text_id")
+    return Q.range_rank(found, ends.select("text_id", "sym", F.expr("n div 4").alias("i"), F.expr("3 * n div 4").alias("j")))
+
+
+@query
+def select_points(spark, sf_dir):
+    found = name_runs(spark, sf_dir)
+    k = F.explode(F.array_distinct(F.array(F.lit(0).cast("bigint"), F.expr("freq div 2"), F.expr("freq - 1"), F.col("freq")))).alias("k")
+    return Q.select(found, R.c_table(found).select("text_id", "sym", k))
+
+
+@query
+def inverse_select_points(spark, sf_dir):
+    found = name_runs(spark, sf_dir)
+    return Q.inverse_select(found, R.expand(found).select("text_id", "i"))
+
+
+@query
+def lf_mapping(spark, sf_dir):
+    found = name_runs(spark, sf_dir)
+    return Q.lf(found, R.c_table(found), R.expand(found).select("text_id", "i"))
+
+
+@query
+def fl_mapping(spark, sf_dir):
+    found = name_runs(spark, sf_dir)
+    return Q.fl(found, R.c_table(found), R.expand(found).select("text_id", "i"))
+
+
+@query
+def psi_function(spark, sf_dir):
+    return X.psi(name_suffixes(spark, sf_dir))
+
+
+@query
+def successor_run_head(spark, sf_dir):
+    found = name_runs(spark, sf_dir)
+    return Q.successor_head(found, _symbol_places(found, "0", "n div 2", "n - 1"))
+
+
+@query
+def circular_predecessor(spark, sf_dir):
+    found = name_runs(spark, sf_dir)
+    probes = _places(found, "0", "n div 2", "n - 1").withColumnRenamed("i", "pos")
+    return Q.predecessor_circular(found, probes, "head_sa", "pos")
+
+
+@query
+def phi_inverse(spark, sf_dir):
+    return Q.phi_inverse(name_suffixes(spark, sf_dir))
+
+
+@query
+def phi_backward(spark, sf_dir):
+    return Q.phi(name_suffixes(spark, sf_dir))
+
+
+@query
+def sa_interval_count(spark, sf_dir):
+    corpus = names(spark, sf_dir)
+    return U.intervals(X.suffixes(corpus), corpus, name_patterns(spark, sf_dir)).select("pat_id", "text_id", "l", "r", "n_occ")
+
+
+@query
+def toehold(spark, sf_dir):
+    corpus = names(spark, sf_dir)
+    return U.intervals(X.suffixes(corpus), corpus, name_patterns(spark, sf_dir)).select("pat_id", "text_id", "l", "first_pos")
+
+
+@query
+def locate_sa_order(spark, sf_dir):
+    corpus = names(spark, sf_dir)
+    rows = X.suffixes(corpus)
+    return U.locate_ordered(rows, U.intervals(rows, corpus, name_patterns(spark, sf_dir)))
+
+
+@query
+def backward_search(spark, sf_dir):
+    return build_index(names(spark, sf_dir), "toehold", STEP).count_with_head(name_patterns(spark, sf_dir))
+
+
+@query
+def backward_search_runs_only(spark, sf_dir):
+    return build_index(names(spark, sf_dir), "rlbwt").count(name_patterns(spark, sf_dir))
+
+
+@query
+def locate_via_phi(spark, sf_dir):
+    return build_index(names(spark, sf_dir), "csa", STEP).locate(name_patterns(spark, sf_dir))
+
+
+@query
+def decode_suffix_array(spark, sf_dir):
+    index = build_index(names(spark, sf_dir), "toehold", STEP)
+    return U.decode(index.runs, _places(index.runs, "0", "n div 3", "n div 2", "n - 1"))
+
+
+@query
+def index_metadata(spark, sf_dir):
+    return build_index(names(spark, sf_dir), "csa", STEP).metadata()
+
+
+@query
+def qgram_intervals_k3(spark, sf_dir):
+    corpus = names(spark, sf_dir)
+    return X.prefix_intervals(X.suffixes(corpus), corpus, 3)
+
+
+@query
+def index_stats(spark, sf_dir):
+    return R.statistics(name_runs(spark, sf_dir))
+
+
+@query
+def run_length_histogram(spark, sf_dir):
+    return R.run_length_histogram(name_runs(spark, sf_dir))
+
+
+@query
+def run_blocks(spark, sf_dir):
+    return R.blocks(name_runs(spark, sf_dir), 64).groupBy("text_id", "block").agg(F.count("*").alias("runs"))
+
+
+@query
+def overlap_stats(spark, sf_dir):
+    return S.overlaps(name_runs(spark, sf_dir))
+
+
+@query
+def head_subsample(spark, sf_dir):
+    return S.head_samples(name_runs(spark, sf_dir), STEP)
+
+
+@query
+def phi_blocks(spark, sf_dir):
+    return S.phi_blocks(name_runs(spark, sf_dir), STEP)
+
+
+@query
+def phi_blocks_circular(spark, sf_dir):
+    return S.phi_blocks(name_runs(spark, sf_dir), STEP, circular=True)
+
+
+@query
+def document_size_histogram(spark, sf_dir):
+    return statistics.histogram(_table(spark, sf_dir, "documents").select(F.octet_length("text").alias("size")), "size")
+
+
+@query
+def price_extremes(spark, sf_dir):
+    return statistics.extremes(_table(spark, sf_dir, "part"), ["p_type"], "p_retailprice")
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+@query
+def document_index_stats(spark, sf_dir):
+    return R.statistics(R.runs(X.suffixes(documents(spark, sf_dir))))
