@@ -12,6 +12,7 @@ import bisect
 import html as entities
 import os.path
 import re
+from collections import Counter
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -58,6 +59,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
     out: list[tuple[str, int]] = []
     parts: list[str] = []
     stack: list[tuple[str, int, int]] = []  # element, zone, and whether dropped: 2 for good, 1 unless an article opens
+    open_: Counter[str] = Counter()
     zone = dropped = 0
 
     def end_line() -> None:
@@ -68,6 +70,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
 
     def pop_to(k: int) -> None:
         nonlocal zone, dropped
+        open_.subtract(x[0] for x in stack[k:])
         del stack[k:]
         zone, dropped = stack[-1][1:] if stack else (0, 0)
 
@@ -104,7 +107,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         if name in BLOCK:
             end_line()
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if open_[name] else ():
                 if stack[k][0] == name:
                     pop_to(k)
                     break
@@ -117,8 +120,8 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             end = re.compile(f"</{name}\\b[^>]*>", re.I).search(page, at)
             at = size if end is None else end.end()
             continue
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in CLOSES.get(name, ()):
+        for k in range(len(stack) - 1, -1, -1) if any(open_[x] for x in CLOSES.get(name, ())) else ():
+            if stack[k][0] in CLOSES[name]:
                 pop_to(k)
                 break
             if stack[k][0] in HOLDS:
@@ -134,6 +137,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         elif not dropped and words & DROPPED_WORDS and name not in ("article", "body", "html", "main"):
             inner = 1
         stack.append((name, max(zone, ARTICLE if name == "article" else MAIN if name == "main" or "main" in words and "role" in attributes else OTHER), inner))
+        open_[name] += 1
         zone, dropped = stack[-1][1:]
     end_line()
     return out
