@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, cut, only_ids
+from .common import BROADCAST_ROWS, HOT_PARTS, attach, cut, only_ids, release
 from .components import components
 from .shingles import shingle_set
 
@@ -74,35 +74,60 @@ def _frequencies(described: DataFrame) -> np.ndarray:
     return table
 
 
-def _nodes(raw: DataFrame, frequency: np.ndarray) -> DataFrame:
-    """One row for each distinct set: node, key, n, min_doc, copies, tokens (its prefix, rarest bucket first)."""
+def _nodes(raw: DataFrame, frequency: np.ndarray, sets: int) -> DataFrame:
+    """One row for each distinct set: node, key, n, min_doc, copies, tokens (its prefix, rarest bucket first), and cold.
+
+    Only so many of the tokens, the first, are in buckets of less than 1 / HOT_PARTS of all sets.
+    """
     shared = raw.sparkSession.sparkContext.broadcast(np.minimum(frequency, np.iinfo(np.int32).max).astype(np.int32))
+    hot = max(2, sets // HOT_PARTS)
 
     def prefixed(batches):
         rare = shared.value
         for b in batches:
-            cols = [[], [], [], []]
+            cols = [[], [], [], [], []]
             for d, t in zip(b.column(0), b.column(1), strict=True):
                 s = shingle_set(t.as_py())
                 if len(s):
-                    order = np.lexsort((s, rare[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]))
-                    prefix = s[order[: len(s) - _least_overlap(len(s)) + 1]]
-                    for col, value in zip(cols, (d.as_py(), xxhash.xxh3_128_digest(s.tobytes()), len(s), prefix.view(np.int64)), strict=True):
+                    times = rare[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
+                    order = np.argsort(times, kind="stable")[: len(s) - _least_overlap(len(s)) + 1]
+                    cold = int((times[order] < hot).sum())
+                    for col, value in zip(cols, (d.as_py(), xxhash.xxh3_128_digest(s.tobytes()), len(s), s[order].view(np.int64), cold), strict=True):
                         col.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.column(0).type), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64()))], names=["doc_id", "key", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.column(0).type), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.int32())], names=["doc_id", "key", "n", "tokens", "cold"])
 
     kind = raw.schema["doc_id"].dataType.simpleString()
-    rows = raw.mapInArrow(prefixed, f"doc_id {kind}, key binary, n bigint, tokens array<bigint>")
-    grouped = rows.groupBy("key").agg(F.min("doc_id").alias("min_doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    rows = raw.mapInArrow(prefixed, f"doc_id {kind}, key binary, n bigint, tokens array<bigint>, cold int")
+    grouped = rows.groupBy("key").agg(F.min("doc_id").alias("min_doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("cold").alias("cold"))
     return cut(grouped.withColumn("node", F.monotonically_increasing_id()))
 
 
 def _shared_tokens(nodes: DataFrame) -> DataFrame:
-    """The matrix's raw rows: token, node, pos, n for prefix tokens that two sets or more have."""
-    every = nodes.select("node", "n", F.posexplode("tokens").alias("pos", "token"))
-    times = cut(every.groupBy("token").agg(F.count("*").alias("__n")).filter("__n > 1"))
-    total = nodes.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()[0]
-    return cut(attach(every.select("token", "node", "pos", "n"), times, ["token"], "__n", total).filter("__n is not null").drop("__n"))
+    """The matrix's raw rows: token, node, pos, n for prefix tokens that two sets or more have.
+
+    Tokens of cold buckets meet in one shuffle; those of hot ones, few in any prefix, are counted before they do.
+    """
+    every = nodes.select("node", "n", "cold", F.posexplode("tokens").alias("pos", "token"))
+    columns = ["token", "node", "pos", "n"]
+
+    def repeated(batches):
+        held, before = None, None  # the last row, which the next batch decides on, and the token ahead of it
+        for b in batches:
+            if held is not None:
+                b = pa.concat_batches([held, b])
+            if not b.num_rows:
+                continue
+            token = b.column(0).to_numpy(zero_copy_only=False)
+            same = token[1:] == token[:-1]
+            yield b.slice(0, b.num_rows - 1).filter(pa.array(same | np.concatenate([[token[0] == before], same])[:-1]))
+            held, before = b.slice(b.num_rows - 1), token[-2] if len(token) > 1 else before
+        if held is not None and held.column(0)[0].as_py() == before:
+            yield held
+
+    cold = every.filter("pos < cold").select(columns).repartition("token").sortWithinPartitions("token").mapInArrow(repeated, "token bigint, node bigint, pos int, n bigint")
+    hot = cut(every.filter("pos >= cold").select(columns))
+    times = cut(hot.groupBy("token").agg(F.count("*").alias("__n")).filter("__n > 1"))
+    return cut(cold.unionByName(attach(hot, times, ["token"], "__n", max(1, hot.count())).filter("__n is not null").drop("__n")))
 
 
 def _linking(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -123,12 +148,14 @@ def _linking(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
     first, second = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
+    pairs = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
     return cut(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(compared, "a bigint, b bigint"))
 
 
-def _sets(raw: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and the sorted tokens (bytes) of the nodes in wanted."""
-    named = cut(nodes.join(wanted, "node", "left_semi").select("node", "key", "min_doc"))
+def _sets(raw: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """node and the sorted tokens (bytes) of the nodes in pairs."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    named = cut(nodes.select("node", "key", "min_doc").join(wanted, "node", "left_semi"))
     docs = only_ids(raw, cut(named.select(F.col("min_doc").alias("doc_id")).distinct()), "doc_id").unionByName(raw.filter("doc_id is null"))
 
     def tokens(batches):
@@ -136,7 +163,7 @@ def _sets(raw: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
             found = [shingle_set(t.as_py()).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in found], pa.binary()), pa.array(found, pa.binary())], names=["key", "tokens"])
 
-    return cut(docs.mapInArrow(tokens, "key binary, tokens binary").join(named, "key").select("node", "tokens").dropDuplicates(["node"]))
+    return cut(docs.mapInArrow(tokens, "key binary, tokens binary").join(F.broadcast(named) if named.count() <= BROADCAST_ROWS else named, "key").select("node", "tokens"))
 
 
 def _may_link(n: str, pos: str, n2: str, pos2: str):
@@ -209,9 +236,10 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = raw.schema["doc_id"].dataType.simpleString()
     described = _describe(raw, kind)
     rows = described.filter("chunk is null").select("doc_id", "n", "key")
-    nodes = _nodes(raw, _frequencies(described))
-    shared = _shared_tokens(nodes)
-    sets, comp, left = None, None, shared
+    nodes = _nodes(raw, _frequencies(described), rows.count())
+    release(spark)
+    left, comp = _shared_tokens(nodes), None
+    release(spark)
     for turn in range(TURNS + 1):
         left = _mixed(left.select("token", "node", "pos", "n"), comp)
         pairs = cut(_promising(left) if turn < TURNS else _qualifying(left))
@@ -219,9 +247,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             if turn < TURNS:
                 continue
             break
-        if sets is None:
-            sets = _sets(raw, nodes, cut(shared.select("node").distinct()))
-        links = _linking(pairs, sets)
+        links = _linking(pairs, _sets(raw, nodes, pairs))
         if not links.isEmpty():
             comp = _merge(comp, links)
     ids = nodes.select("node", "key", "min_doc", F.col("copies").alias("__n"))
