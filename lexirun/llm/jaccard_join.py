@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, HOT_PARTS, attach, cut, only_ids, release
+from .common import BROADCAST_ROWS, HOT_PARTS, attach, cut, discard, only_ids, release
 from .components import components
 from .shingles import shingle_set
 
@@ -23,7 +23,11 @@ PERCENT = 80
 #: Counters of the frequency table, whatever the input: 8 bytes each.
 BUCKETS, CHUNK = 1 << 20, 1 << 12
 #: Turns of grouping before the exact pass; it stops sooner if nothing links.
-TURNS = 3
+TURNS = 2
+#: Bits that tell how many tokens of a set fall in each of as many parts, odd or even. Where two sets' bits differ,
+#: so does a token at least, which bounds from below by how many tokens the sets differ.
+PARITY = 256
+BITS = [f"p{k}" for k in range(PARITY // 64)]
 
 
 def _least_overlap(n: np.ndarray | int) -> np.ndarray | int:
@@ -85,25 +89,27 @@ def _nodes(raw: DataFrame, frequency: np.ndarray, sets: int) -> DataFrame:
     def prefixed(batches):
         rare = shared.value
         for b in batches:
-            cols = [[], [], [], [], []]
+            cols = [[] for _ in range(5 + len(BITS))]
             for d, t in zip(b.column(0), b.column(1), strict=True):
                 s = shingle_set(t.as_py())
                 if len(s):
                     times = rare[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]
                     order = np.argsort(times, kind="stable")[: len(s) - _least_overlap(len(s)) + 1]
                     cold = int((times[order] < hot).sum())
-                    for col, value in zip(cols, (d.as_py(), xxhash.xxh3_128_digest(s.tobytes()), len(s), s[order].view(np.int64), cold), strict=True):
+                    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+                    bits = np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+                    for col, value in zip(cols, (d.as_py(), xxhash.xxh3_128_digest(s.tobytes()), len(s), s[order].view(np.int64), cold, *bits), strict=True):
                         col.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.column(0).type), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.int32())], names=["doc_id", "key", "n", "tokens", "cold"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.column(0).type), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64())), pa.array(cols[4], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[5:]]], names=["doc_id", "key", "n", "tokens", "cold", *BITS])
 
     kind = raw.schema["doc_id"].dataType.simpleString()
-    rows = raw.mapInArrow(prefixed, f"doc_id {kind}, key binary, n bigint, tokens array<bigint>, cold int")
-    grouped = rows.groupBy("key").agg(F.min("doc_id").alias("min_doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("cold").alias("cold"))
+    rows = raw.mapInArrow(prefixed, f"doc_id {kind}, key binary, n bigint, tokens array<bigint>, cold int, " + ", ".join(f"{c} bigint" for c in BITS))
+    grouped = rows.groupBy("key").agg(F.min("doc_id").alias("min_doc"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("tokens").alias("tokens"), *[F.first(c).alias(c) for c in ("cold", *BITS)])
     return cut(grouped.withColumn("node", F.monotonically_increasing_id()))
 
 
 def _shared_tokens(nodes: DataFrame) -> DataFrame:
-    """The matrix's raw rows: token, node, pos, n for prefix tokens that two sets or more have.
+    """The matrix's raw rows: token, node, pos, n, and BITS, for prefix tokens that two sets or more have.
 
     Tokens of cold buckets meet in one shuffle; those of hot ones, few in any prefix, are counted before they do.
     """
@@ -127,7 +133,8 @@ def _shared_tokens(nodes: DataFrame) -> DataFrame:
     cold = every.filter("pos < cold").select(columns).repartition("token").sortWithinPartitions("token").mapInArrow(repeated, "token bigint, node bigint, pos int, n bigint")
     hot = cut(every.filter("pos >= cold").select(columns))
     times = cut(hot.groupBy("token").agg(F.count("*").alias("__n")).filter("__n > 1"))
-    return cut(cold.unionByName(attach(hot, times, ["token"], "__n", max(1, hot.count())).filter("__n is not null").drop("__n")))
+    found = cut(cold.unionByName(attach(hot, times, ["token"], "__n", max(1, hot.count())).filter("__n is not null").drop("__n")))
+    return cut(found.join(nodes.select("node", *BITS), "node"))
 
 
 def _linking(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -166,10 +173,19 @@ def _sets(raw: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return cut(docs.mapInArrow(tokens, "key binary, tokens binary").join(F.broadcast(named) if named.count() <= BROADCAST_ROWS else named, "key").select("node", "tokens"))
 
 
-def _may_link(n: str, pos: str, n2: str, pos2: str):
-    """Whether two sets that have their first common token at these places can share enough (both the rest, and size)."""
+def _differ(other: list[str]):
+    """By how many tokens two sets differ at least: in so many of their BITS."""
+    return sum((F.bit_count(F.col(c).bitwiseXOR(F.col(d))) for c, d in zip(BITS, other, strict=True)), F.lit(0))
+
+
+def _may_link(n: str, pos: str, n2: str, pos2: str, other: list[str]):
+    """Whether two sets can link that have their first common token at these places.
+
+    They share at most what follows there in either, and differ by _differ at least.
+    """
     rest = F.least(F.col(n) - F.col(pos), F.col(n2) - F.col(pos2))
-    return (100 + PERCENT) * rest >= PERCENT * (F.col(n) + F.col(n2))
+    total = F.col(n) + F.col(n2)
+    return ((100 + PERCENT) * rest >= PERCENT * total) & ((100 + PERCENT) * _differ(other) <= (100 - PERCENT) * total)
 
 
 def _merge(comp: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -185,42 +201,53 @@ def _merge(comp: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def _mixed(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
-    """rows (token, node, pos, n) with their comp, of tokens that more than one comp has."""
+    """The matrix's rows with their comp, of tokens that more than one comp has."""
     if comp is None:
         return rows.withColumn("comp", F.col("node"))
-    placed = cut(rows.join(comp, "node", "left").select("token", "node", "pos", "n", F.coalesce("comp", "node").alias("comp")))
+    placed = cut(rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     mixed = cut(placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("__n")).filter("lo <> hi").select("token", "__n"))
     return cut(attach(placed, mixed, ["token"], "__n", max(1, placed.count())).filter("__n is not null").drop("__n"))
 
 
-def _promising(rows: DataFrame) -> DataFrame:
-    """(a, b): each node with the one node of another comp that stands for most of its tokens, as their lowest-placed owner."""
-    owner = rows.groupBy("token").agg(F.count("*").alias("__n"), F.min(F.struct("pos", "n", "node", "comp")).alias("o"))
-    owner = cut(owner.select("token", "__n", F.col("o.pos").alias("opos"), F.col("o.n").alias("on"), F.col("o.node").alias("owner"), F.col("o.comp").alias("ocomp")))
-    met = attach(rows, owner, ["token"], "__n", max(1, rows.count())).filter(F.col("comp") != F.col("ocomp")).filter(_may_link("n", "pos", "on", "opos"))
-    votes = met.groupBy("node", "owner").agg(F.count("*").alias("votes"))
-    return votes.groupBy("node").agg(F.min(F.struct(-F.col("votes"), F.col("owner")))["owner"].alias("b")).select(F.col("node").alias("a"), "b")
+def _promising(rows: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each node with the owner, of another comp, of one of its tokens from which it seems to differ least.
+
+    A token's owner is the node that has it at the lowest place, that is, with the fewest rare tokens, and in
+    later turns any.
+    """
+    rank = F.struct("pos", "n", "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "node")
+    columns = ["pos", "n", "node", "comp", *BITS]
+    owner = rows.groupBy("token").agg(F.count("*").alias("__n"), F.min_by(F.struct(*columns), rank).alias("o"))
+    owner = cut(owner.select("token", "__n", *[F.col(f"o.{c}").alias(f"o_{c}") for c in columns]))
+    other = [f"o_{c}" for c in BITS]
+    met = attach(rows, owner, ["token"], "__n", max(1, rows.count())).filter(F.col("comp") != F.col("o_comp")).filter(_may_link("n", "pos", "o_n", "o_pos", other))
+    return met.groupBy("node").agg(F.min(F.struct(_differ(other).alias("d"), F.col("o_node").alias("b")))["b"].alias("b")).select(F.col("node").alias("a"), "b")
 
 
 def _qualifying(rows: DataFrame) -> DataFrame:
     """(a, b): all pairs of nodes of different comps that the matrix doesn't rule out.
 
-    The matrix has a row for each token and group: the sizes of its members there and the best of 5 n - 9 pos,
-    which tells for any query how much of some member can still be shared. Each pair is looked at from its larger
-    set (at equal sizes from the larger node), whose partner has the token in its first ninth.
+    The matrix has a row for each token and group: the sizes of its members there, the best of 5 n - 9 pos, which
+    tells for any query how much of some member can still be shared, and for a group of one its BITS. Each pair is
+    looked at from its larger set (at equal sizes from the larger node), whose partner has the token in its first
+    ninth.
     """
     p, q = PERCENT, 100 + PERCENT
     slack = (q - p) * F.col("n") - q * F.col("pos")
     short = F.col("pos") <= F.col("n") - F.ceil(2 * p * F.col("n") / q)
     members = rows.filter(short)
-    matrix = members.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(slack).alias("best"), F.count("*").alias("__m"))
-    matrix = cut(matrix.withColumnRenamed("comp", "group"))
-    asked = rows.select("token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("pos").alias("apos"), "comp")
+    other = [f"g_{c}" for c in BITS]
+    matrix = members.groupBy("token", F.col("comp").alias("group")).agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max(slack).alias("best"), F.count("*").alias("members"), F.min("node").alias("one"), *[F.max(c).alias(d) for c, d in zip(BITS, other, strict=True)]
+    )
+    asked = rows.select("token", F.col("node").alias("a"), F.col("n").alias("an"), F.col("pos").alias("apos"), "comp", *BITS)
     bound = (F.col("best") >= p * F.col("an")) & ((q - p) * F.col("an") - q * F.col("apos") >= p * F.col("least")) & (100 * F.col("most") >= p * F.col("an")) & (F.col("least") <= F.col("an"))
-    open_ = cut(asked.join(matrix, "token").filter(F.col("comp") != F.col("group")).filter(bound).select("token", "a", "an", "apos", "group"))
-    inside = members.select("token", F.col("comp").alias("group"), F.col("node").alias("b"), "n", "pos")
+    alone = (F.col("members") > 1) | ((q * _differ(other) <= (100 - p) * (F.col("an") + F.col("least"))) & ((F.col("least") < F.col("an")) | (F.col("one") < F.col("a"))))
+    met = asked.join(cut(matrix), "token").filter(F.col("comp") != F.col("group")).filter(bound & alone)
+    open_ = cut(met.select("token", "a", "an", "apos", "group", *BITS))
+    inside = members.select("token", F.col("comp").alias("group"), F.col("node").alias("b"), "n", "pos", *[F.col(c).alias(d) for c, d in zip(BITS, other, strict=True)])
     order = (F.col("n") < F.col("an")) | ((F.col("n") == F.col("an")) & (F.col("b") < F.col("a")))
-    return open_.join(inside, ["token", "group"]).filter(order & (100 * F.col("n") >= p * F.col("an")) & _may_link("an", "apos", "n", "pos")).select("a", "b").distinct()
+    return open_.join(inside, ["token", "group"]).filter(order & (100 * F.col("n") >= p * F.col("an")) & _may_link("an", "apos", "n", "pos", other)).select("a", "b").distinct()
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,18 +263,20 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     kind = raw.schema["doc_id"].dataType.simpleString()
     described = _describe(raw, kind)
     rows = described.filter("chunk is null").select("doc_id", "n", "key")
-    nodes = _nodes(raw, _frequencies(described), rows.count())
-    release(spark)
-    left, comp = _shared_tokens(nodes), None
+    full = _nodes(raw, _frequencies(described), rows.count())
     release(spark)
+    left, comp = _shared_tokens(full), None
+    nodes = cut(full.drop("tokens"))
+    discard(full)
     for turn in range(TURNS + 1):
-        left = _mixed(left.select("token", "node", "pos", "n"), comp)
-        pairs = cut(_promising(left) if turn < TURNS else _qualifying(left))
+        release(spark)
+        left = _mixed(left.drop("comp"), comp)
+        pairs = cut(_promising(left, turn) if turn < TURNS else _qualifying(left))
         if pairs.isEmpty():
-            if turn < TURNS:
-                continue
-            break
-        links = _linking(pairs, _sets(raw, nodes, pairs))
+            continue
+        sets = _sets(raw, nodes, pairs)
+        links = _linking(pairs, sets)
+        discard(sets)
         if not links.isEmpty():
             comp = _merge(comp, links)
     ids = nodes.select("node", "key", "min_doc", F.col("copies").alias("__n"))
