@@ -1,0 +1,44 @@
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lexirun.llm.pii import BASE_KINDS, detect_pii, find_spans, luhn
+
+
+def base(text):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    for kind, pattern, lo, hi in (("card", r"[0-9]([\x20-]?[0-9])+", 13, 19), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 9, 15)):
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            if lo <= len(digits) <= hi and (kind == "phone" or luhn(digits)):
+                out.append((kind, *m.span()))
+    return out
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.one_of(st.text("ab@.-+%_ é", max_size=40), st.text("0123456789. -+()", max_size=60), st.text("1.+- @a", max_size=30), st.text(max_size=30)))
+def test_base_kinds(text):
+    assert [s for s in find_spans(text) if s[0] in BASE_KINDS] == base(text)
+
+
+def test_known_cases():
+    text = "é me.x+1@mail.example.com, 10.0.0.255 and 1.2.3.256; 4111 1111 1111 1111 or +1 (275) 555-5927. See https://a.example/x?y=1. token = \"99168226c4d3\""
+    assert [(k, text[a:b]) for k, a, b in find_spans(text)] == [
+        ("email", "me.x+1@mail.example.com"), ("ip", "10.0.0.255"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (275) 555-5927"),
+        ("url", "https://a.example/x?y=1"), ("account", "99168226c4d3"),
+    ]
+    assert luhn("4111111111111111") and not luhn("4111111111111112")
+
+
+def test_long_runs_stay_linear():
+    found = {text: find_spans(text) for text in ("1" * 300_000, "1." * 150_000, "a@" * 150_000, "+1 " * 100_000, "0" * 5000 + ".1.1.1", "http://" * 40_000)}
+    assert [s[0] for s in found["0" * 5000 + ".1.1.1"]] == ["ip"] and len(found["1." * 150_000]) == 37_500
+
+
+def test_table(spark):
+    df = spark.createDataFrame([(1, "a@b.cc", 1), (None, None, 2), (1, "", 3), (2, "x" * 100_000 + " a@b.cc", 4)], "doc_id bigint, text string, spans int")
+    found = sorted(((r.doc_id or 0, [tuple(s) for s in r.spans]) for r in detect_pii(df).collect()), key=str)
+    assert found == sorted([(1, [("email", 0, 6)]), (0, []), (1, []), (2, [("email", 100_001, 100_007)])], key=str)
+    assert detect_pii(df.limit(0)).count() == 0
