@@ -24,8 +24,9 @@ def _range_of(splitters: np.ndarray):
             low = np.searchsorted(majors, major, "left")
             high = np.searchsorted(majors, major, "right")
             at = high.copy()
-            for k in np.unique(low[low < high]):  # keys whose major is that of splitters: the minor decides
-                mine = low == k
+            tied = low < high  # the major is that of some splitters: the minor decides
+            for k in np.unique(low[tied]):
+                mine = tied & (low == k)
                 end = high[mine][0]
                 at[mine] = k + np.searchsorted(splitters["minor"][k:end], minor[mine], "right")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32))], names=[*b.schema.names, "__range"])
