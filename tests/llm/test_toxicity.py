@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexirun.llm import toxicity as T
 from lexirun.llm.queries import op10_classifier_chain
@@ -9,7 +10,8 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     seen, held = labels.filter("doc_id % 3 <> 0"), labels.filter("doc_id % 3 = 0")
-    found = T.score(docs, seen).join(held, "doc_id").select("p_toxic", "toxic", "p_low_quality", "quality").toDF("p", "truth", "low", "quality").toPandas()
+    told = T.score(docs, seen).select("doc_id", F.col("p_toxic").alias("p"), F.col("p_low_quality").alias("low"))
+    found = told.join(held.withColumnRenamed("toxic", "truth"), "doc_id").toPandas()
     flagged = found["p"] >= T.THRESHOLD
     assert (flagged & (found["truth"] == 0)).sum() <= 0.002 * len(found)
     assert (flagged & (found["truth"] == 1)).sum() >= 0.75 * (found["truth"] == 1).sum()
