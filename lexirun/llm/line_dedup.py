@@ -1,7 +1,12 @@
-"""Substring dedup by hashing lines: of what repeats across the corpus, the earliest occurrence stays."""
+"""Substring dedup by hashing lines: of what repeats across the corpus, the earliest occurrence stays.
+
+Passages often begin and end inside a line, so lines are cut further after sentence ends unless asked otherwise.
+"""
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -10,18 +15,23 @@ from pyspark.sql.window import Window
 
 from .common import attach, cut
 
-#: Repeated lines go if they, with the repeated lines next to them, have this many words.
-MIN_WORDS = 50
-SEPARATORS = {"line": "\n", "paragraph": "\n\n"}
-SCHEMA = "unit bigint, start bigint, end bigint, words bigint, digest binary"
+#: Repeated units go if they, with the repeated units next to them, have this many words. A passage of over 50 words
+#: whose first sentence is joined to what stands before it still reaches that, short lines that recur don't.
+MIN_WORDS = 30
+SEPARATORS = {"sentence": "\n", "line": "\n", "paragraph": "\n\n"}
+SENTENCE_END = re.compile(r"([.!?])[ \t]")
+SCHEMA = "unit int, start int, end int, words int, digest binary"
 
 
-def units_of(text: str, unit: str = "line"):
+def units_of(text: str, unit: str = "sentence"):
     """(number, start, end, words, digest) of the units of text that have words; offsets in code points.
 
+    Lines end at line breaks, paragraphs at two, sentences at line breaks and at a space or tab after . ! or ?
     A unit is normalised before hashing: A-Z lower-cased, ASCII white space trimmed and squeezed to one space.
     """
     separator, at, number = SEPARATORS[unit], 0, 0
+    if unit == "sentence":
+        text = SENTENCE_END.sub(r"\1\n", text)  # as long as before
     for part in text.split(separator):
         words = part.encode("utf-8", "replace").lower().split()
         if words:
@@ -30,7 +40,7 @@ def units_of(text: str, unit: str = "line"):
         at += len(part) + len(separator)
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "line", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "sentence", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The spans of docs that repeat earlier text and should go.
 
     Units are grouped by digest over all docs; the occurrence with the smallest (doc_id, number) stays, all others
@@ -51,7 +61,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "lin
                 for u in units_of(t.as_py() or "", unit):
                     for col, value in zip(cols, (row, doc, *u), strict=True):
                         col.append(value)
-            types = [pa.int64(), b.column(1).type, *[pa.int64()] * 4, pa.binary()]
+            types = [pa.int64(), b.column(1).type, *[pa.int32()] * 4, pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     numbered = raw.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
@@ -62,15 +72,15 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "lin
     repeats = met.filter(F.col("__first").isNotNull() & ~F.col("__first").eqNullSafe(F.struct("doc_id", "unit")))
     of_row = Window.partitionBy("row").orderBy("unit")
     runs = repeats.withColumn("__run", F.col("unit") - F.row_number().over(of_row)).groupBy("row", "__run").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("units"), F.sum("words").alias("words"), F.min(F.struct("unit", "__first.doc_id"))["doc_id"].alias("kept_doc_id")
+        F.first("doc_id").alias("doc_id"), F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.count("*").alias("units"), F.sum("words").alias("words"), F.min(F.struct("unit", "__first.doc_id"))["doc_id"].alias("kept_doc_id")
     )
     return runs.filter(F.col("words") >= min_words).drop("row", "__run")
 
 
 def cut_spans(text: str, spans: list[tuple[int, int]]) -> str:
-    """text without spans (sorted, apart), nor the line break that follows one."""
+    """text without spans (sorted, apart), nor the white space character that follows one."""
     out, at = [], 0
     for start, end in spans:
         out.append(text[at:start])
-        at = end + (text[end : end + 1] == "\n")
+        at = end + (text[end : end + 1] in ("\n", " ", "\t"))
     return "".join([*out, text[at:]])

@@ -90,7 +90,7 @@ ORACLES: dict[str, str] = {
     "op6_line_hashing": f"""
         WITH split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
                               generate_subscripts(string_split(text, chr(10)), 1) AS i
-                       FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+                       FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '([.!?])[ \\t]', '\\1' || chr(10), 'g') AS text FROM documents)),
              placed AS (SELECT doc_id, i, line,
                                sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS start,
                                trim(regexp_replace({_NORMAL.replace('text', 'line')}, '[\\x09-\\x0D ]+', ' ', 'g')) AS norm FROM split),

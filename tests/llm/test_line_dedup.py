@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 
@@ -10,12 +11,13 @@ def norm(part):
     return b" ".join(part.encode().lower().split())
 
 
-def brute(data, least, separator="\n"):
+def brute(data, least, sentences=False, separator="\n"):
     seen, out = {}, []
     placed = []
     for d, t in data:
         at, number = 0, 0
-        for part in (t or "").split(separator):
+        t = re.sub(r"([.!?])[ \t]", r"\1\n", t or "") if sentences else t or ""
+        for part in t.split(separator):
             if norm(part):
                 placed.append((d, number, at, at + len(part), norm(part)))
                 number += 1
@@ -36,18 +38,19 @@ def brute(data, least, separator="\n"):
 
 def made(seed=1):
     rng = random.Random(seed)
-    pool = ["one two", "One  TWO ", "é x y z", "a b c d e f", "", "  ", "w " * 30] + [f"line {k}" for k in range(30)]
+    pool = ["one two", "One. two! Three?  four. x", "a b. One two", "One  TWO ", "é x y z", "a b c d e f", "", "  ", "w " * 30] + [f"line {k}" for k in range(30)]
     return [(k, None if k == 3 else "\n".join(rng.choice(pool) for _ in range(rng.randint(0, 8)))) for k in range(60)]
 
 
 @pytest.mark.parametrize("least", [1, 4, 12])
 @pytest.mark.parametrize("broadcast", [True, False])
-def test_against_brute_force(spark, monkeypatch, least, broadcast):
+@pytest.mark.parametrize("unit", ["line", "sentence"])
+def test_against_brute_force(spark, monkeypatch, least, broadcast, unit):
     if not broadcast:
         monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
         monkeypatch.setattr(common, "HOT_PARTS", 20)
     df = spark.createDataFrame([(d, t, "k") for d, t in made()], "doc_id bigint, text string, digest string")
-    assert sorted(tuple(r) for r in repeated_spans(df, least).select("doc_id", "start", "end", "units", "words", "kept_doc_id").collect()) == brute(made(), least)
+    assert sorted(tuple(r) for r in repeated_spans(df, least, unit).select("doc_id", "start", "end", "units", "words", "kept_doc_id").collect()) == brute(made(), least, unit == "sentence")
 
 
 def test_paragraphs_and_cutting(spark):
@@ -57,6 +60,7 @@ def test_paragraphs_and_cutting(spark):
     spans = [(r.start, r.end) for r in repeated_spans(df, 1, "paragraph").collect()]
     assert cut_spans(text, spans) == "p q\nr s\n\nfresh words\n\n"
     assert cut_spans("a\nb\nc", [(2, 3)]) == "a\nc"
+    assert [text[a:b] for text in ("a b. c d?\te\n f.",) for _, a, b, *_ in units_of(text)] == ["a b.", "c d?", "e", " f."]
 
 
 def test_null_ids_repeats_and_empty_table(spark):
