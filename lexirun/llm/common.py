@@ -57,6 +57,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def slices(batches, rows: int = 512):
+    """Arrow batches in pieces of so many rows, so that what a worker makes of them at a time stays small."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; null is empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices
 from .ranking import ranked
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -199,14 +199,12 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     kind = raw.schema["page_id"].dataType.simpleString()
 
     def parsed(batches):
-        for b in batches:
-            for a in range(0, b.num_rows, 256):
-                part = b.slice(a, 256)
-                places = [host_and_path(u.as_py()) for u in part.column(1)]
-                found = [lines_of(h.as_py() or "") for h in part.column(2)]
-                cols = [pa.array([p[k] for p in places], pa.string()) for k in (0, 1)]
-                cols += [pa.array([[x[k] for x in f] for f in found], pa.list_(t)) for k, t in ((0, pa.string()), (1, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names=["page_id", "url", "host", "path", "lines", "zones"])
+        for b in slices(batches, 256):
+            places = [host_and_path(u.as_py()) for u in b.column(1)]
+            found = [lines_of(h.as_py() or "") for h in b.column(2)]
+            cols = [pa.array([p[k] for p in places], pa.string()) for k in (0, 1)]
+            cols += [pa.array([[x[k] for x in f] for f in found], pa.list_(t)) for k, t in ((0, pa.string()), (1, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["page_id", "url", "host", "path", "lines", "zones"])
 
     read = cut(raw.mapInArrow(parsed, f"page_id {kind}, url string, {PARSED}").withColumn("uid", F.monotonically_increasing_id()))
     named = F.coalesce(F.array_max("zones"), F.lit(OTHER)) > OTHER

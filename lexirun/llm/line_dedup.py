@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import attach, cut
+from .common import attach, cut, slices
 
 #: Repeated units go if they, with the repeated units next to them, have this many words. A passage of over 50 words
 #: whose first sentence is joined to what stands before it still reaches that, short lines that recur don't.
@@ -55,7 +55,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "sen
     names = ["row", "doc_id", "unit", "start", "end", "words", "digest"]
 
     def units(batches):
-        for b in batches:
+        for b in slices(batches):
             cols = [[] for _ in names]
             for row, doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 for u in units_of(t.as_py() or "", unit):

@@ -23,6 +23,12 @@ def hashes_of(words) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted and without repeats (faster than np.unique)."""
+    x = np.sort(x)
+    return x if len(x) < 2 else x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -46,5 +52,4 @@ def shingles_of(words: list[bytes], size: int = SIZE) -> np.ndarray:
 
 def shingle_set(text: str | None, size: int = SIZE) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
-    s = np.sort(shingles_of(words_of(text), size))
-    return s if len(s) < 2 else s[np.concatenate([[True], s[1:] != s[:-1]])]
+    return distinct(shingles_of(words_of(text), size))
