@@ -240,6 +240,34 @@ def circular_predecessor(spark, sf_dir):
     return Q.predecessor_circular(found, probes, "head_sa", "pos")
 
 
+@query
+def soft_successor(spark, sf_dir):
+    found = name_runs(spark, sf_dir)
+    return Q.successor_soft(found, _places(found, "0", "n div 2", "n - 1").withColumnRenamed("i", "pos"), "tail_sa", "pos")
+
+
+@query
+def head_gaps(spark, sf_dir):
+    return Q.gaps(name_runs(spark, sf_dir), "head_sa")
+
+
+@query
+def lf_range(spark, sf_dir):
+    found = name_runs(spark, sf_dir)
+    ends = _sizes(found).join(found.select("text_id", "sym").distinct(), "text_id").select("text_id", "sym", F.expr("n div 4").alias("i"), F.expr("n div 2").alias("j"))
+    return Q.lf_range(found, R.c_table(found), ends)
+
+
+@query
+def random_positions(spark, sf_dir):
+    return P.sample_positions(_sizes(name_runs(spark, sf_dir)), 10)
+
+
+@query
+def reserved_symbols(spark, sf_dir):
+    return C.reserved_symbols(documents(spark, sf_dir)).select("text_id")
+
+
 @query
 def phi_inverse(spark, sf_dir):
     return Q.phi_inverse(name_suffixes(spark, sf_dir))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .search import count
 
@@ -24,6 +25,13 @@ def sample_patterns(corpus: DataFrame, number: int, length: int, forbidden: int
     return rows.select(F.posexplode("all").alias("pat_id", "x")).select(F.col("pat_id").cast("bigint").alias("pat_id"), "x.text_id", "x.pos", "x.pattern")
 
 
+def sample_positions(sizes: DataFrame, number: int, seed: int = 0) -> DataFrame:
+    """text_id, i: for each text of sizes (text_id, n) number distinct positions below n, drawn as sample_patterns draws."""
+    each = sizes.select("text_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("i"))
+    w = Window.partitionBy("text_id").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "text_id", "i")))
+    return each.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= number).drop("__k")
+
+
 def at_most(corpus: DataFrame, patterns: DataFrame, most: int) -> DataFrame:
     """The patterns with at most `most` occurrences, with n_occ."""
     return patterns.join(count(corpus, patterns).filter(F.col("n_occ") <= most), "pat_id")

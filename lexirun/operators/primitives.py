@@ -74,6 +74,26 @@ def successor_head(found: DataFrame, probes: DataFrame) -> DataFrame:
     return met.select(*probes.columns, F.col("found.head_i").alias("succ_i"), F.col("found.head_sa").alias("succ_sa"))
 
 
+def lf_range(found: DataFrame, c_table: DataFrame, probes: DataFrame) -> DataFrame:
+    """probes (text_id, i, j, sym) with l, r: the interval of what begins with sym and goes on as in [i, j]; null if empty."""
+    ends = range_rank(found, probes.select("text_id", "sym", "i", (F.col("j") + 1).alias("j")))
+    named = ends.join(c_table.select("text_id", "sym", "c_lo"), ["text_id", "sym"], "left")
+    some = F.col("rank_j") > F.col("rank_i")
+    return named.select("text_id", "sym", "i", (F.col("j") - 1).alias("j"), F.when(some, F.col("c_lo") + F.col("rank_i")).alias("l"), F.when(some, F.col("c_lo") + F.col("rank_j") - 1).alias("r"))
+
+
+def successor_soft(found: DataFrame, probes: DataFrame, key: str, at: str) -> DataFrame:
+    """probes (text_id, at) with succ, the smallest key >= at of their text; beyond the last, null."""
+    met = asof(probes, found.select("text_id", key), ["text_id"], at, key, forward=True)
+    return met.select(*probes.columns, F.col(f"found.{key}").alias("succ"))
+
+
+def gaps(found: DataFrame, key: str) -> DataFrame:
+    """text_id, key, gap: how far each key is from the one before it in its text (the first: from -1)."""
+    before = F.lag(key, 1, -1).over(Window.partitionBy("text_id").orderBy(key))
+    return found.select("text_id", key, (F.col(key) - before).alias("gap"))
+
+
 def predecessor_circular(found: DataFrame, probes: DataFrame, key: str, at: str) -> DataFrame:
     """probes (text_id, at) with pred, the largest key <= at of their text; before the first, the last of all."""
     rows = found.select("text_id", key)

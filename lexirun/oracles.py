@@ -119,6 +119,15 @@ ORACLES: dict[str, str] = {
         FROM place p JOIN symbol c ON c.text_id = p.text_id LEFT JOIN run r ON r.text_id = p.text_id AND r.sym = c.sym AND r.head_i >= p.i GROUP BY p.text_id, p.i, c.sym""",
     "circular_predecessor": f"""WITH {_RUNS}{_at('0', 'n // 2', 'n - 1')}
         SELECT p.text_id, p.i AS pos, coalesce(max(r.head_sa) FILTER (r.head_sa <= p.i), max(r.head_sa)) AS pred FROM place p JOIN run r ON r.text_id = p.text_id GROUP BY p.text_id, p.i""",
+    "soft_successor": f"""WITH {_RUNS}{_at('0', 'n // 2', 'n - 1')}
+        SELECT p.text_id, p.i AS pos, min(r.tail_sa) FILTER (r.tail_sa >= p.i) AS succ FROM place p JOIN run r ON r.text_id = p.text_id GROUP BY p.text_id, p.i""",
+    "head_gaps": f"WITH {_RUNS} SELECT text_id, head_sa, head_sa - lag(head_sa, 1, -1) OVER (PARTITION BY text_id ORDER BY head_sa) AS gap FROM run",
+    "lf_range": f"""WITH {_SUFFIXES}{_at('0')}, ends AS (SELECT text_id, sym, n // 4 AS i, n // 2 AS j FROM size JOIN symbol USING (text_id))
+        SELECT e.text_id, e.sym, e.i, e.j, min(b.i) AS l, max(b.i) AS r FROM ends e
+        LEFT JOIN suf s ON s.text_id = e.text_id AND s.sym = e.sym AND s.i BETWEEN e.i AND e.j
+        LEFT JOIN suf b ON b.text_id = s.text_id AND b.pos = (s.pos + s.n - 1) % s.n GROUP BY e.text_id, e.sym, e.i, e.j""",
+    "random_positions": f"""WITH {_SUFFIXES} SELECT text_id, pos AS i FROM (SELECT text_id, pos, row_number() OVER (PARTITION BY text_id ORDER BY md5('0:' || text_id || ':' || pos)) AS k FROM suf) WHERE k <= 10""",
+    "reserved_symbols": "SELECT doc_id AS text_id FROM documents WHERE contains(text, chr(0))",
     "phi_inverse": f"WITH {_SUFFIXES} SELECT text_id, pos, lead(pos) OVER (PARTITION BY text_id ORDER BY i) AS next_pos FROM suf",
     "phi_backward": f"WITH {_SUFFIXES} SELECT text_id, pos, lag(pos) OVER (PARTITION BY text_id ORDER BY i) AS prev_pos FROM suf",
     "sa_interval_count": f"WITH {_SUFFIXES}{_PATTERNS} SELECT pat_id, text_id, l, r, n_occ FROM span",
