@@ -87,6 +87,17 @@ ORACLES: dict[str, str] = {
              g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY h)
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.h AS text_sha256
         FROM d JOIN g USING (h)""",
+    "op4_token_group_matrix": f"""
+        WITH RECURSIVE word AS (SELECT doc_id, regexp_extract_all({_NORMAL}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+             bag AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                            ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) END AS s FROM word),
+             shingle AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM bag),
+             pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, any_value(a.n) + any_value(b.n) - count(*) AS either
+                      FROM shingle a JOIN shingle b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+             link AS (SELECT a, b FROM pair WHERE 100 * common >= 80 * either UNION ALL SELECT b, a FROM pair WHERE 100 * common >= 80 * either),
+             reach AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.seen)
+        SELECT b.doc_id, CAST(len(b.s) AS BIGINT) AS n_shingles, min(r.seen) AS component_id
+        FROM bag b JOIN reach r ON r.doc_id = b.doc_id GROUP BY b.doc_id, b.s""",
     "op6_line_hashing": f"""
         WITH split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
                               generate_subscripts(string_split(text, chr(10)), 1) AS i
