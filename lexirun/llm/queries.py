@@ -98,6 +98,31 @@ ORACLES: dict[str, str] = {
              reach AS (SELECT doc_id, doc_id AS seen FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.seen)
         SELECT b.doc_id, CAST(len(b.s) AS BIGINT) AS n_shingles, min(r.seen) AS component_id
         FROM bag b JOIN reach r ON r.doc_id = b.doc_id GROUP BY b.doc_id, b.s""",
+    "op5_simhash_windows": f"""
+        WITH source AS (SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark),
+             part AS (SELECT kind, id, unnest(l) AS p, unnest(range(len(l))) AS k
+                      FROM (SELECT kind, id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS l FROM source)),
+             placed AS (SELECT kind, id, k, {_NORMAL.replace('text', 'p')} AS w, sum(length(p)) OVER (PARTITION BY kind, id ORDER BY k) AS fin, length(p) AS len FROM part),
+             word AS (SELECT kind, id, row_number() OVER (PARTITION BY kind, id ORDER BY k) - 1 AS i, w, fin - len AS start, fin FROM placed WHERE regexp_matches(w, '^[^\\x20\\x09-\\x0D]')),
+             five AS (SELECT kind, id, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS x
+                      FROM word WINDOW o AS (PARTITION BY kind, id ORDER BY i)),
+             shingle AS (SELECT * FROM five WHERE x IS NOT NULL UNION ALL
+                         SELECT kind, id, 0, string_agg(w, ' ' ORDER BY i) FROM word GROUP BY kind, id HAVING count(*) < 5),
+             size AS (SELECT kind, id, count(*) AS n FROM shingle GROUP BY kind, id),
+             item AS (SELECT id AS item_id, x, count(*) AS c FROM shingle WHERE kind = 'i' GROUP BY id, x),
+             hit AS (SELECT d.id AS doc_id, t.item_id, d.i, d.x, t.c, least(a.n, b.n) AS size, a.n AS n, b.n AS m
+                     FROM shingle d JOIN item t USING (x) JOIN size a ON a.kind = 'd' AND a.id = d.id JOIN size b ON b.kind = 'i' AND b.id = t.item_id WHERE d.kind = 'd'),
+             near AS (SELECT *, count(*) OVER (PARTITION BY doc_id, item_id) AS hits FROM hit),
+             few AS (SELECT * FROM near WHERE 180 * hits >= 80 * (size + m)),
+             start AS (SELECT DISTINCT doc_id, item_id, size, m, unnest(range(greatest(0, i - size + 1), least(i, n - size) + 1)) AS s FROM few),
+             met AS (SELECT t.doc_id, t.item_id, t.size, t.m, t.s, h.x, least(count(*), any_value(h.c)) AS c FROM start t JOIN few h
+                     ON h.doc_id = t.doc_id AND h.item_id = t.item_id AND h.i BETWEEN t.s AND t.s + t.size - 1 GROUP BY ALL),
+             scored AS (SELECT doc_id, item_id, size, s, sum(c) AS a, any_value(size) + any_value(m) - sum(c) AS u FROM (SELECT doc_id, item_id, size, m, s, x, c FROM met) GROUP BY doc_id, item_id, size, s),
+             good AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY a / u DESC, s) AS k, count(*) OVER (PARTITION BY doc_id, item_id) AS windows FROM scored WHERE 100 * a >= 80 * u),
+             words AS (SELECT id AS doc_id, count(*) AS n FROM word WHERE kind = 'd' GROUP BY id)
+        SELECT g.doc_id, g.item_id, CAST(a / u AS DOUBLE) AS similarity, CAST(b.start AS BIGINT) AS start, CAST(e.fin AS BIGINT) AS "end", windows
+        FROM good g JOIN words n USING (doc_id) JOIN word b ON b.kind = 'd' AND b.id = g.doc_id AND b.i = g.s
+        JOIN word e ON e.kind = 'd' AND e.id = g.doc_id AND e.i = least(g.s + g.size + 4, n.n) - 1 WHERE g.k = 1""",
     "op6_line_hashing": f"""
         WITH split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
                               generate_subscripts(string_split(text, chr(10)), 1) AS i

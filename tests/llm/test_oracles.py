@@ -8,7 +8,8 @@ from test_queries import rows_of
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_query_against_sql(spark, sf_dir, name):
     connection = duckdb.connect()
-    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    for t in ("documents", "benchmark"):
+        connection.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df = QUERIES[name](spark, sf_dir)
     found = connection.execute(ORACLES[name])
     names = [d[0] for d in found.description]
