@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, HOT_PARTS, attach, cut, discard, only_ids, release
+from .common import BROADCAST_ROWS, HOT_PARTS, attach, cut, discard, only_ids, release, slices
 from .components import components
 from .shingles import shingle_set
 
@@ -42,7 +42,7 @@ def _describe(raw: DataFrame, kind: str) -> DataFrame:
         counts = np.zeros(BUCKETS, np.int64)
         names = ["doc_id", "n", "key", "chunk", "counts"]
         doc_type = pa.int64()
-        for b in batches:
+        for b in slices(batches):
             doc_type = b.column(0).type
             n, keys = [], []
             for t in b.column(1):
@@ -88,7 +88,7 @@ def _nodes(raw: DataFrame, frequency: np.ndarray, sets: int) -> DataFrame:
 
     def prefixed(batches):
         rare = shared.value
-        for b in batches:
+        for b in slices(batches):
             cols = [[] for _ in range(5 + len(BITS))]
             for d, t in zip(b.column(0), b.column(1), strict=True):
                 s = shingle_set(t.as_py())
@@ -166,7 +166,7 @@ def _sets(raw: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     docs = only_ids(raw, cut(named.select(F.col("min_doc").alias("doc_id")).distinct()), "doc_id").unionByName(raw.filter("doc_id is null"))
 
     def tokens(batches):
-        for b in batches:
+        for b in slices(batches):
             found = [shingle_set(t.as_py()).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in found], pa.binary()), pa.array(found, pa.binary())], names=["key", "tokens"])
 
@@ -291,6 +291,6 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def drop_similar(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with one document of each component: that whose id names it. Rows that repeat an id stay together."""
+    """docs, all columns, with one document of each component: that whose id names it. Rows that repeat an id stay together, rows without id stay."""
     gone = cut(similar_documents(docs).filter("component_id <> doc_id").select("doc_id").distinct())
     return only_ids(docs, gone, "doc_id", "left_anti")

@@ -11,7 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 SPACE = "▁"
+#: Documents whose results a worker holds at a time.
+SLICE = 128
 
 
 class CharacterMap:
@@ -146,7 +150,7 @@ def _sha(data: bytes) -> str:
 
 #: What encode_documents can return: type for Spark, type for Arrow, and how it comes from text, ids, their text, spans and decoder.
 COLUMNS = {
-    "ids": ("array<int>", pa.list_(pa.int32()), lambda e, t, ids, said, spans: ids),
+    "ids": ("array<int>", pa.list_(pa.int32()), lambda e, t, ids, said, spans: np.array(ids, np.int32)),
     "spans": ("array<bigint>", pa.list_(pa.int64()), lambda e, t, ids, said, spans: spans.ravel()),
     "decoded": ("string", pa.string(), lambda e, t, ids, said, spans: e.library.decode(ids)),
     "n_tokens": ("bigint", pa.int64(), lambda e, t, ids, said, spans: len(ids)),
@@ -167,7 +171,7 @@ def encode_documents(docs: DataFrame, model: str, columns: tuple[str, ...] = ("i
 
     def encoded(batches):
         e = encoder(model)
-        for b in batches:
+        for b in slices(batches, SLICE):  # ids and spans take many times the room of their text
             out = [[] for _ in columns]
             for t in b.column(1):
                 text = t.as_py() or ""
