@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut
-from .shingles import hashes_of
+from .common import BROADCAST_ROWS, cut, slices
+from .shingles import distinct, hashes_of
 
 #: Labelled rows that the models are fitted on at most: those whose ids hash lowest. This bounds what the driver holds.
 TRAIN_ROWS = 6000
@@ -32,7 +32,7 @@ _SYMBOLS = bytes(c for c in range(33, 127) if not (48 <= c <= 57 or 65 <= c <= 9
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct hashes of words and word beginnings, and NUMBERS numbers.
+    """The sorted distinct 32-bit hashes of words and word beginnings, and NUMBERS numbers.
 
     Words are runs of ASCII letters, A-Z lower-cased, apostrophes and all that is not ASCII.
     """
@@ -41,11 +41,11 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     once = set(words)
     tokens = once | {w[:size] + b"*" for size in PREFIXES for w in once if len(w) > size}
-    distinct = np.sort(hashes_of(tokens))
+    found = distinct((hashes_of(tokens) & np.uint64(0xFFFFFFFF)).astype(np.uint32))
     upper, symbols, digits = (n - len(data.translate(None, drop)) for drop in (_UPPER, _SYMBOLS, b"0123456789"))
     size = max(n, 1)
     numbers = np.array([np.log1p(len(words)), upper / size, symbols / size, digits / size, len(once) / max(len(words), 1), n / max(len(words), 1) / 10], np.float64)
-    return distinct, np.minimum(numbers, 20)
+    return found, np.minimum(numbers, 20)
 
 
 @dataclass
@@ -79,7 +79,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 def _telling(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> np.ndarray:
     """The words whose presence is most associated with y, sorted by hash."""
-    every = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.uint64)
+    every = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.uint32)
     words, place = np.unique(every, return_inverse=True)
     has = np.repeat(y, [len(r[0]) for r in rows])
     total, a = np.bincount(place, minlength=len(words)).astype(float), np.bincount(place, has, minlength=len(words))
@@ -119,7 +119,7 @@ def fit_chain(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, fol
     trusts them as far as they can be trusted on unseen text.
     """
     chain, earlier = [], np.zeros((len(rows), 0))
-    words, times = np.unique(np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.uint64), return_counts=True)
+    words, times = np.unique(np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.uint32), return_counts=True)
     frequent = words[times >= LEAST_ROWS]
     rows = [(np.intersect1d(w, frequent, assume_unique=True), x) for w, x in rows]
     for y in labels.T:
@@ -129,6 +129,8 @@ def fit_chain(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, fol
             return fit([rows[i] for i in at], y[at], earlier[at])
 
         chain.append(fitted(known))
+        if len(chain) == labels.shape[1]:
+            break  # nothing learns from the last one's probabilities
         out = np.zeros(len(rows))
         for k in range(FOLDS):
             mine = np.flatnonzero(folds == k)
@@ -153,14 +155,14 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_c
     kind = raw.schema["doc_id"].dataType.simpleString()
 
     def read(batches):
-        for b in batches:
+        for b in slices(batches):
             got = [features(t.as_py()) for t in b.column(1)]
             cols = [b.column(0), pa.array([w.tobytes() for w, _ in got], pa.binary()), pa.array([x.tobytes() for _, x in got], pa.binary()), *b.columns[2:]]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "words", "numbers", *CHAIN])
 
     got = raw.mapInArrow(read, f"doc_id {kind}, words binary, numbers binary, " + ", ".join(f"{c} double" for c in CHAIN)).toPandas()
     got = got.drop_duplicates("doc_id").sort_values("doc_id").reset_index(drop=True)
-    rows = [(np.frombuffer(bytes(w), np.uint64), np.frombuffer(bytes(x))) for w, x in zip(got["words"], got["numbers"], strict=True)]
+    rows = [(np.frombuffer(w, np.uint32), np.frombuffer(x)) for w, x in zip(got["words"], got["numbers"], strict=True)]
     folds = (pd.util.hash_array(got["doc_id"].to_numpy(), categorize=False) % FOLDS).astype(int) if len(got) else np.zeros(0, int)
     return fit_chain(rows, got[list(CHAIN)].to_numpy(float).reshape(len(got), len(CHAIN)), folds)
 
@@ -176,11 +178,9 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_c
     names = [f"p_{c}" for c in CHAIN]
 
     def scored(batches):
-        for b in batches:
-            for a in range(0, b.num_rows, 256):
-                part = b.slice(a, 256)
-                p = predict_chain(chain.value, [features(t.as_py()) for t in part.column(1)])
-                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x) for x in p.T], pa.array(p[:, -1] >= THRESHOLD)], names=["doc_id", *names, "toxic"])
+        for b in slices(batches, 256):
+            p = predict_chain(chain.value, [features(t.as_py()) for t in b.column(1)])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x) for x in p.T], pa.array(p[:, -1] >= THRESHOLD)], names=["doc_id", *names, "toxic"])
 
     raw = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return raw.mapInArrow(scored, f"doc_id {raw.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names) + ", toxic boolean")

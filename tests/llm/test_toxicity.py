@@ -20,7 +20,7 @@ def test_held_out_accuracy(spark):
 
 def test_chain_feeds_probabilities_forward():
     rng = np.random.default_rng(1)
-    rows = [(np.sort(rng.integers(0, 40, 8).astype(np.uint64)), rng.normal(size=T.NUMBERS)) for _ in range(900)]
+    rows = [(np.sort(rng.integers(0, 40, 8).astype(np.uint32)), rng.normal(size=T.NUMBERS)) for _ in range(900)]
     rows = [(np.unique(w), x) for w, x in rows]
     first = np.array([float(7 in w) for w, _ in rows])
     noise = rng.random(900) < 0.05
@@ -33,7 +33,7 @@ def test_chain_feeds_probabilities_forward():
 
 
 def test_out_of_fold_predictions_do_not_see_their_row():
-    rows = [(np.array([k], np.uint64), np.zeros(T.NUMBERS)) for k in range(60)]
+    rows = [(np.array([k], np.uint32), np.zeros(T.NUMBERS)) for k in range(60)]
     labels = np.array([[float(k % 2), float(k % 2)] for k in range(60)])
     chain = T.fit_chain(rows, labels, np.arange(60) % T.FOLDS)
     assert abs(chain[1].weights[-1]) < 1  # a word that no other row has tells nothing about the fold left out
