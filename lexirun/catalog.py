@@ -40,7 +40,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.from_strings(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return C.from_strings(C.spread(_table(spark, sf_dir, "documents")), "doc_id", "text")
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:

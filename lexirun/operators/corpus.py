@@ -9,6 +9,12 @@ from pyspark.sql import functions as F
 TERMINATOR, SEPARATOR = 0, 1
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores where its files make fewer tasks than that, as few or unsplittable files do."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def from_strings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One text per row; a null text is left out."""
     return df.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("text_id"), F.encode(text_col, "utf-8").alias("bytes"))
