@@ -4,7 +4,7 @@ import re
 import pytest
 
 from lexirun.llm import common
-from lexirun.llm.line_dedup import cut_spans, repeated_spans, units_of
+from lexirun.llm.line_dedup import cut_spans, repeated_passages, repeated_spans, units_of
 
 
 def norm(part):
@@ -73,3 +73,55 @@ def test_null_ids_repeats_and_empty_table(spark):
 def test_short_repeats_stay(spark):
     df = spark.createDataFrame([(1, "same line"), (2, "same line\nother")], "doc_id bigint, text string")
     assert repeated_spans(df).count() == 0
+
+
+def passages_brute(data, least, size):
+    """The places that go: those of runs of repeated units, and of repeated windows that hold a unit of a shorter run."""
+    seen, gone = {}, set()
+    for d, a, b, *_ in brute(data, least, True):
+        gone |= {(d, k) for k in range(a, b)}
+    short = [(d, a, b) for d, a, b, _, n, _ in brute(data, 1, True) if n < least]
+    for d, t in data:
+        spans = [m.span() for m in re.finditer(r"[^ \t-\r]+", t or "")]
+        at, units = 0, []
+        for _, start, end, n, _ in units_of(t or ""):
+            units.append((at, at + n, any(x == d and a <= start and end <= b for x, a, b in short)))
+            at += n
+        for k in range(len(spans) - size + 1):
+            held = [lone for a, b, lone in units if k <= a and b <= k + size and b - a < least]
+            if held:
+                key = tuple(t[a:b].lower() for a, b in spans[k : k + size])
+                e, j = seen.setdefault(key, (d, k))
+                if any(held) and (e != d or k - j >= size):
+                    gone |= {(d, c) for c in range(spans[k][0], spans[k + size - 1][1])}
+    return gone
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+@pytest.mark.parametrize("least, size", [(4, 7), (5, 6), (6, 12)])
+def test_passages_against_brute_force(spark, monkeypatch, least, size, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+        monkeypatch.setattr(common, "HOT_PARTS", 20)
+    rng = random.Random(least)
+    words = [w + rng.choice(["", "", ".", "\n"]) for w in "a b c d e f g h i j k l".split()] + ["é.", "A", "x!"]
+    story = [rng.choice(words) for _ in range(60)]
+    data = []
+    for k in range(40):
+        a = rng.randrange(40)
+        data.append((k, " ".join([*rng.choices(words, k=5), *story[a : a + rng.randint(4, 20)], *rng.choices(words, k=5)])))
+    data += [(40, "z. " * 30), (41, ""), (42, None)]
+    found = repeated_passages(spark.createDataFrame(data, "doc_id bigint, text string"), least, size).collect()
+    rows = [(r.doc_id, c) for r in found for c in range(r.start, r.end)]
+    assert len(rows) == len(set(rows)) and set(rows) == passages_brute(data, least, size)
+
+
+def test_short_run_inside_a_passage(spark):
+    rng = random.Random(3)
+    said = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    stock, passage = "All rights reserved.", f"{said(25)}. {said(18)}. {said(26)}"
+    data = [(1, f"{said(9)} {passage} {said(9)}\n{stock}"), (2, f"{said(7)} {passage} {said(8)}. {stock}"), (3, f"{said(40)}.\n{stock}")]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    assert repeated_spans(df).count() == 0
+    found = [(r.doc_id, data[r.doc_id - 1][1][r.start : r.end], r.runs, r.kept_doc_id) for r in repeated_passages(df).collect()]
+    assert found == [(2, passage, 0, 1)]
