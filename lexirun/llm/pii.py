@@ -22,9 +22,13 @@ QUAD = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 URL = re.compile(r"[^\s<>\"'`{}|\\^]+")
+#: The other parts of an identifier that a cue begins.
+PARTS = re.compile(r"(?:[_-][A-Za-z0-9]++)*+")
 VALUE = re.compile(r"(?:\s?(?:number|no\.?|id))?\s?(?:[:=]|is)\s?[\"']?([A-Za-z0-9][A-Za-z0-9_/+.-]{5,})")
+CAPITALS = re.compile(r"[A-Z]+")
 DIGITS = frozenset("0123456789")
 WORD = DIGITS | LOCAL - frozenset("._%+-") | {"_"}
+BEFORE_CUE = WORD - {"_"}
 
 
 def luhn(digits: str) -> bool:
@@ -57,11 +61,14 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
 
     The base kinds are what the leftmost non-overlapping matches of their patterns give, less those that fail
     validation. url: what follows a scheme, without closing punctuation (for mailto:, if an address follows).
-    account: the value of at least six characters, a digit among them, after a cue word and : or = or "is".
+    account: the value of at least six characters, a digit among them, after a cue word and : or = or "is". The cue
+    may be a part of an identifier, its parts joined by _ or -. Schemes and cues are found in either case.
     """
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in (*BASE_KINDS, *ADDED_KINDS)}
     free = dict.fromkeys(out, 0)  # where the next match of a kind may start: matches that failed block as well
-    for last, (kind, size) in _anchors().iter(text):
+    lowered = text.lower() if text.isascii() else CAPITALS.sub(lambda m: m[0].lower(), text)  # as long as text
+    tried = 0  # the end of the identifier whose cue was last looked at
+    for last, (kind, size) in _anchors().iter(lowered):
         if kind == "digit":
             if last >= free["ip"] and (last == free["ip"] or text[last - 1] not in DIGITS):
                 if m := QUAD.match(text, last):
@@ -86,11 +93,12 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             start = last + 1 - size
             if start >= free["url"] and (start == 0 or text[start - 1] not in WORD) and (m := URL.match(text, last + 1)):
                 end = m.start() + len(m[0].rstrip(".,;:!?)]*#$%&"))
-                if end > m.start() and (text[start:last] != "mailto" or "@" in m[0]):
+                if end > m.start() and (lowered[start:last] != "mailto" or "@" in m[0]):
                     out["url"].append((start, end))
                     free["url"] = end
-        elif (start := last + 1 - size) >= free["account"] and (start == 0 or text[start - 1] not in WORD):
-            m = VALUE.match(text, last + 1)
+        elif (start := last + 1 - size) >= max(free["account"], tried) and (start == 0 or text[start - 1] not in BEFORE_CUE):
+            tried = PARTS.match(lowered, last + 1).end()
+            m = VALUE.match(lowered, tried)
             if m and any(c in DIGITS for c in m[1]):
                 end = m.start(1) + len(m[1].rstrip("."))
                 out["account"].append((m.start(1), end))

@@ -32,6 +32,17 @@ def test_known_cases():
     assert luhn("4111111111111111") and not luhn("4111111111111112")
 
 
+def test_capitals_and_identifiers():
+    text = """é TOKEN = "99168226c4d3" Password: Abc12345x, SSN: 123-45-6789. Account Number: 00112233; IBAN IS DE44500105
+        access_token=aa11bb22 secret_key=Cc33dd44 X-Api_Key-Id: ee55ff66 tokens=gg77hh88 HTTPS://A.example/x MailTo:nobody"""
+    assert [(k, text[a:b]) for k, a, b in find_spans(text)] == [
+        ("url", "HTTPS://A.example/x"), ("account", "99168226c4d3"), ("account", "Abc12345x"), ("account", "123-45-6789"), ("account", "00112233"),
+        ("account", "DE44500105"), ("account", "aa11bb22"), ("account", "Cc33dd44"), ("account", "ee55ff66"),
+    ]
+    assert find_spans("İ" * 9 + " TOKEN=a1b2c3") == [("account", 16, 22)]
+    assert find_spans("_token-" * 40_000) == []
+
+
 def test_long_runs_stay_linear():
     found = {text: find_spans(text) for text in ("1" * 300_000, "1." * 150_000, "a@" * 150_000, "+1 " * 100_000, "0" * 5000 + ".1.1.1", "http://" * 40_000)}
     assert [s[0] for s in found["0" * 5000 + ".1.1.1"]] == ["ip"] and len(found["1." * 150_000]) == 37_500
