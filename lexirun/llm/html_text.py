@@ -27,6 +27,8 @@ ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 #: Element names by what they mean for the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
+#: Of the raw ones, those of which only the tag goes where none closes them.
+EMBEDDED = frozenset("noscript template iframe svg".split())
 DROPPED = frozenset("head nav header footer aside form button select option fieldset object canvas dialog menu audio video map".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
@@ -75,6 +77,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         zone, dropped = stack[-1][1:] if stack else (0, 0)
 
     at, size, last = 0, len(page), page.rfind(">")
+    unclosed: set[str] = set()  # elements whose closing tag doesn't come any more
     while at < size:
         lt = page.find("<", at)
         if lt < 0:
@@ -117,8 +120,15 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         if name in VOID:
             continue
         if name in RAW:
+            if name in unclosed or name == "svg" and page[at - 2] == "/":
+                continue
             end = re.compile(f"</{name}\\b[^>]*>", re.I).search(page, at)
-            at = size if end is None else end.end()
+            if end is not None:
+                at = end.end()
+            elif name in EMBEDDED:
+                unclosed.add(name)
+            else:
+                at = size
             continue
         for k in range(len(stack) - 1, -1, -1) if any(open_[x] for x in CLOSES.get(name, ())) else ():
             if stack[k][0] in CLOSES[name]:

@@ -26,6 +26,13 @@ def test_markup(page, lines):
     assert [x for x, _ in lines_of(page)] == lines
 
 
+@pytest.mark.parametrize("tag", ["<svg/>", '<svg viewBox="0 0 1 1" />', "<SVG\n/>", "<svg>", "<iframe src=x>", "<template>", "<noscript>"])
+def test_embedded_elements_without_end(tag):
+    assert lines_of(f"<article><p>a</p>{tag}<p>b</p></article>") == [("a", ARTICLE), ("b", ARTICLE)]
+    assert lines_of("<article><p>a<svg><text>x</text></svg>b<svg/>c</p></article>") == [("abc", ARTICLE)]
+    assert lines_of("<p>a" + tag * 50_000) == [("a", OTHER)]
+
+
 def test_hostile_pages_stay_linear():
     for page in ("<" * 200_000, "<a " * 100_000, "<p>" * 100_000, '<a "' * 50_000 + ">", "<!--" * 100_000, "&" * 200_000, "<div class=ad>" * 20_000):
         lines_of(page)
