@@ -1,80 +1,113 @@
-"""Main text of web pages: markup tells the article, nearest-URL differencing deletes what pages of a host share.
+"""Main text of web pages by nearest-URL differencing, with markup as a second witness for each line.
 
-Differencing alone can't give right results here: a page without a like neighbour keeps its menus, and an article
-loses the lines that it quotes as its neighbour does. So lines inside an article element stay whatever they share,
-lines in elements for menus, adverts and the like go in any case, and differencing decides on pages whose markup
-names no article.
+Every page is paired with the page of its host whose URL path is nearest, their lines are aligned by a longest
+common subsequence, and shared lines are deleted. Alone that can't give right results: an article loses the lines
+that its neighbour quotes too, and a menu that differs from page to page stays. So markup speaks for single lines,
+never for a page: lines within an article or main element outlive being shared, lines in elements for menus,
+adverts and the like go even if they aren't, and of all other lines differencing decides.
 """
 
 from __future__ import annotations
 
-import bisect
 import html as entities
 import os.path
 import re
 from collections import Counter
+from functools import lru_cache
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, slices
-from .ranking import ranked
+from .ranking import ranked, tied_minor
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Element names by what they mean for the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
 #: Of the raw ones, those of which only the tag goes where none closes them.
 EMBEDDED = frozenset("noscript template iframe svg".split())
 DROPPED = frozenset("head nav header footer aside form button select option fieldset object canvas dialog menu audio video map".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
 HOLDS = frozenset("article aside blockquote body div dl fieldset footer form header html main nav ol section table td th ul".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus".split())
-DROPPED_WORDS = COMMENT_WORDS | frozenset(
-    "ad ads advert adverts advertisement adsense banner breadcrumb breadcrumbs consent contentinfo complementary cookie cookies dialog footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+HEADER_WORDS = frozenset("header masthead".split())
+#: Words that name what isn't the article, in classes, ids and roles, and words that may stand beside them in one name.
+CHROME_WORDS = COMMENT_WORDS | HEADER_WORDS | frozenset(
+    "ad ads advert adverts advertisement adsense alert banner breadcrumb breadcrumbs consent contentinfo complementary cookie cookies dialog footer gdpr menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
-SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
-
-ARTICLE, MAIN, OTHER = 2, 1, 0
-
-
-def _words(attributes: str) -> set[str]:
-    found = set()
+PLAIN_WORDS = frozenset(
+    "area articles bar block body bottom box button buttons col column container content count form global group holder icons inner item items left link links list main media mobile outer page panel policy post posts primary reader right row secondary section site slot sticky stories thread top unit user view wrap wrapper zone".split()
+)
+SPLIT = re.compile(r"[^a-z]+")
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+
+#: What markup says of a line. GONE: chrome, whatever the neighbour has. ASIDE: an article within chrome, which
+#: counts only on a page without another. OPEN: nothing. MAIN, ARTICLE: within such an element. DOUBTFUL: within one,
+#: but in a part that is named in a doubtful way.
+GONE, ASIDE, OPEN, MAIN, ARTICLE, DOUBTFUL = range(6)
+#: Why a line goes, or KEPT.
+KEPT, BY_MARKUP, BY_DIFFERENCE, BY_BOTH = range(4)
+#: Bits of alignment held at a time; longer pages are halved until they fit.
+ALIGNED = 1 << 26
+
+
+@lru_cache(4096)
+def _names(attributes: str) -> tuple[bool, bool, bool, bool, bool, bool]:
+    """Whether class, id and role say: chrome, chrome by class or role alone, comments, header, something with a word of chrome in it, main."""
+    chrome = named = comments = header = some = main = False
     for m in ATTRIBUTE.finditer(attributes):
-        value = m[2] or m[3] or m[4] or ""
-        found.update(w for part in value.split() for w in SPLIT.split(part.lower()))
-    return found
+        kind = m[1].lower()
+        for name in (m[2] or m[3] or m[4] or "").split():
+            words = {w for part in CAMEL.split(name) for w in SPLIT.split(part.lower()) if w}
+            main |= kind == "role" and words == {"main"}
+            found = words & CHROME_WORDS
+            if not found:
+                continue
+            some = True
+            if words <= CHROME_WORDS | PLAIN_WORDS:
+                if found <= HEADER_WORDS:
+                    header = True
+                else:
+                    chrome = True
+                    named |= kind != "id"
+                    comments |= bool(found & COMMENT_WORDS)
+    return chrome, named, comments, header, some, main
 
 
 def lines_of(page: str) -> list[tuple[str, int]]:
-    """The text lines of a page in order, those in dropped elements left out, each with ARTICLE, MAIN or OTHER.
+    """The text lines of a page in order, each with what markup says of it (GONE to DOUBTFUL).
 
     A line is the text of one block element, with character references decoded and white space squeezed to one
-    space. Broken markup is read as far as it goes: what isn't closed ends with what holds it.
+    space. Broken markup is read as far as it goes: what isn't closed ends with what holds it. The text of scripts,
+    styles and of buttons and the like inside a line is in none.
     """
     out: list[tuple[str, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, int, int]] = []  # element, zone, and whether dropped: 2 for good, 1 unless an article opens
+    stack: list[tuple[str, int, int, bool, bool]] = []  # element, zone, role if it isn't the zone's (or -1), for good, muted
     open_: Counter[str] = Counter()
-    zone = dropped = 0
+    zone, role, good, muted = OPEN, -1, False, False
 
     def end_line() -> None:
         if parts:
             if line := " ".join("".join(parts).split()):
-                out.append((line, zone))
+                out.append((line, zone if role < 0 else role))
             parts.clear()
 
     def pop_to(k: int) -> None:
-        nonlocal zone, dropped
+        nonlocal zone, role, good, muted
         open_.subtract(x[0] for x in stack[k:])
         del stack[k:]
-        zone, dropped = stack[-1][1:] if stack else (0, 0)
+        zone, role, good, muted = stack[-1][1:] if stack else (OPEN, -1, False, False)
 
     at, size, last = 0, len(page), page.rfind(">")
     unclosed: set[str] = set()  # elements whose closing tag doesn't come any more
@@ -82,7 +115,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         lt = page.find("<", at)
         if lt < 0:
             lt = size
-        if lt > at and not dropped:
+        if lt > at and not muted:
             parts.append(entities.unescape(page[at:lt]))
         if lt == size:
             break
@@ -98,7 +131,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         if m is None:
             if lt + 1 < size and (page[lt + 1].isalpha() or page[lt + 1] == "/") and lt > last:
                 break  # a tag cut off by the end of the page
-            if not dropped:
+            if not muted:
                 parts.append("<")
             at = lt + 1
             continue
@@ -136,53 +169,117 @@ def lines_of(page: str) -> list[tuple[str, int]]:
                 break
             if stack[k][0] in HOLDS:
                 break
-        words = _words(attributes) if attributes else set()
-        inner = dropped
-        if name in DROPPED:
-            inner = 2
-        elif words & COMMENT_WORDS and name not in ("body", "html", "main"):
-            inner = 2
-        elif name in ("article", "main") and dropped == 1:
-            inner = 0
-        elif not dropped and words & DROPPED_WORDS and name not in ("article", "body", "html", "main"):
-            inner = 1
-        stack.append((name, max(zone, ARTICLE if name == "article" else MAIN if name == "main" or "main" in words and "role" in attributes else OTHER), inner))
+        chrome, named, comments, header, some, main = _names(attributes) if attributes else (False,) * 6
+        within = zone > OPEN
+        here, now, final, mute = zone, role, good, muted
+        whole = name in ("html", "body", "main") or name == "article" and not within
+        if not good:
+            if name in DROPPED and not (name == "header" and within):
+                now, final = GONE, True
+            elif whole or name in HEADINGS and within:
+                if role == GONE and name in ("article", "main"):
+                    now = ASIDE
+                elif role == DOUBTFUL:
+                    now = -1
+            elif role != GONE:
+                if comments or chrome and (named or not within) or header and not within:
+                    now, final = GONE, comments
+                elif within and role != ASIDE and (name == "header" or some and name in BLOCK):
+                    now = DOUBTFUL
+        if name == "article":
+            here = ARTICLE
+        elif name == "main" or main:
+            here = max(zone, MAIN)
+        if now == GONE and role != GONE and name not in BLOCK:
+            mute = True
+        stack.append((name, here, now, final, mute))
         open_[name] += 1
-        zone, dropped = stack[-1][1:]
+        zone, role, good, muted = stack[-1][1:]
     end_line()
     return out
 
 
-def shared_lines(a: list[str], b: list[str]) -> set[int]:
-    """The places in a of one longest common subsequence of lines of a and b (Hunt and Szymanski)."""
-    where: dict[str, list[int]] = {}
-    for j in range(len(b) - 1, -1, -1):
-        where.setdefault(b[j], []).append(j)
-    ends: list[int] = []
-    links: list[tuple[int, tuple | None]] = []
-    for i, line in enumerate(a):
-        for j in where.get(line, ()):
-            k = bisect.bisect_left(ends, j)
-            node = (i, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(node)
-            elif j < ends[k]:
-                ends[k], links[k] = j, node
-    found, node = set(), links[-1] if links else None
-    while node is not None:
-        found.add(node[0])
-        node = node[1]
+def _rows(a: list, b: list) -> list[int]:
+    """For each beginning of a, as a number of len(b) bits, where (0) one more element of b makes the longest common subsequence longer."""
+    places: dict = {}
+    for j, x in enumerate(b):
+        places[x] = places.get(x, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    state, rows = full, []
+    for x in a:
+        both = state & places.get(x, 0)
+        state = (state + both | state - both) & full
+        rows.append(state)
+    return rows
+
+
+def _lengths(a: list, b: list) -> np.ndarray:
+    """The length of the longest common subsequence of a and each beginning of b."""
+    state = (_rows(a, b) or [(1 << len(b)) - 1])[-1]
+    bits = np.unpackbits(np.frombuffer(state.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def shared_lines(a: list, b: list) -> set[int]:
+    """The places in a of one longest common subsequence of a and b: bit-parallel, in room that doesn't grow with their product."""
+    found: set[int] = set()
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            found.add(a0)
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+            found.add(a1)
+        if a0 == a1 or b0 == b1:
+            continue
+        if (a1 - a0) * (b1 - b0) > ALIGNED and a1 - a0 > 1:
+            half = (a0 + a1) // 2
+            ahead, behind = _lengths(a[a0:half], b[b0:b1]), _lengths(a[half:a1][::-1], b[b0:b1][::-1])[::-1]
+            at = b0 + int(np.argmax(ahead + behind))
+            todo += [(a0, half, b0, at), (half, a1, at, b1)]
+            continue
+        rows = _rows(a[a0:a1], b[b0:b1])
+        i, j = a1 - a0, b1 - b0
+        while i and j:
+            if rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+                continue
+            i -= 1
+            if i and not rows[i - 1] >> (j - 1) & 1:
+                continue
+            j -= 1
+            found.add(a0 + i)
     return found
 
 
-def main_text(lines: list[str], zones: list[int], neighbour: list[str] | None) -> str:
-    """The article's lines, or else main's, or, on a page without either, those that the neighbour doesn't share."""
-    best = max(zones, default=OTHER)
-    if best != OTHER:
-        return "\n\n".join(line for line, z in zip(lines, zones, strict=True) if z == best)
-    gone = shared_lines(lines, neighbour) if neighbour else ()
-    return "\n\n".join(line for i, line in enumerate(lines) if i not in gone)
+def digests(lines: list[str]) -> list[int]:
+    return [xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) - (1 << 63) for x in lines]
+
+
+def verdicts(roles: list[int], shared: set[int] | None) -> list[int]:
+    """KEPT, or why it goes, for each line of a page by its role and the places shared with the neighbour (None: it has none).
+
+    A shared line goes unless it is ARTICLE, or MAIN on a page without ARTICLE lines. A line that isn't shared
+    stays unless it is GONE or ASIDE; on a page without neighbour OPEN lines go as well if it has MAIN or ARTICLE ones.
+    A page with neither, but with an article in its chrome, has that for its article.
+    """
+    best = max((r for r in roles if r <= ARTICLE), default=OPEN)
+    if best <= OPEN and ASIDE in roles:
+        roles, best = [ARTICLE if r == ASIDE else r for r in roles], ARTICLE
+    out = []
+    for i, r in enumerate(roles):
+        same = shared is not None and i in shared
+        if r in (GONE, ASIDE):
+            out.append(BY_BOTH if same else BY_MARKUP)
+        elif r == ARTICLE or r == MAIN == best:
+            out.append(KEPT)
+        elif same:
+            out.append(BY_DIFFERENCE)
+        else:
+            out.append(BY_MARKUP if r == OPEN and shared is None and best > OPEN else KEPT)
+    return out
 
 
 def host_and_path(url: str | None) -> tuple[str, str]:
@@ -194,17 +291,11 @@ def host_and_path(url: str | None) -> tuple[str, str]:
         return "", ""
 
 
-PARSED = "host string, path string, lines array<string>, zones array<int>"
-
+PARSED = "host string, path string, lines array<string>, roles array<tinyint>, digests array<bigint>"
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per row of pages: page_id, url, text.
 
-    A page's neighbour is, of the two next to it in the order of host and path, the one of the same host with the
-    longer common path beginning (the earlier if equally long); it counts only where the page's markup names no
-    article. A page without host has no neighbour, one without html an empty text. Ids may be null or come twice;
-    pages with equal paths lie next to each other in any order; other columns are ignored.
-    """
+def _read(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """All pages parsed, cut: page_id, url, host, path, lines, roles, digests, uid."""
     raw = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kind = raw.schema["page_id"].dataType.simpleString()
 
@@ -212,37 +303,59 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         for b in slices(batches, 256):
             places = [host_and_path(u.as_py()) for u in b.column(1)]
             found = [lines_of(h.as_py() or "") for h in b.column(2)]
+            lines = [[x[0] for x in f] for f in found]
             cols = [pa.array([p[k] for p in places], pa.string()) for k in (0, 1)]
-            cols += [pa.array([[x[k] for x in f] for f in found], pa.list_(t)) for k, t in ((0, pa.string()), (1, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["page_id", "url", "host", "path", "lines", "zones"])
-
-    read = cut(raw.mapInArrow(parsed, f"page_id {kind}, url string, {PARSED}").withColumn("uid", F.monotonically_increasing_id()))
-    named = F.coalesce(F.array_max("zones"), F.lit(OTHER)) > OTHER
+            cols += [pa.array(lines, pa.list_(pa.string())), pa.array([[x[1] for x in f] for f in found], pa.list_(pa.int8())), pa.array([digests(x) for x in lines], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["page_id", "url", "host", "path", "lines", "roles", "digests"])
 
-    def textual(df: DataFrame) -> DataFrame:
-        def joined(batches):
-            for b in batches:
-                texts = [main_text(x.as_py(), z.as_py(), n.as_py()) for x, z, n in zip(b.column(2), b.column(3), b.column(4), strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+    return cut(raw.mapInArrow(parsed, f"page_id {kind}, url string, {PARSED}").withColumn("uid", F.monotonically_increasing_id()))
 
-        return df.mapInArrow(joined, f"page_id {kind}, url string, text string")
 
-    alone = read.filter(named).select("page_id", "url", "lines", "zones", F.lit(None).cast("array<string>").alias("near"))
-    open_pages = read.filter(~named)
-    if open_pages.isEmpty():
-        return textual(alone)
-    keys = cut(read.filter("host <> ''").select("uid", "host", "path", F.encode(F.concat("host", F.lit("\0"), "path"), "utf-8").alias("major"), F.xxhash64("uid").alias("minor"), F.lit(1).cast("long").alias("weight")))
-    order = cut(ranked(keys).select("uid", "host", "path", "rank"))
-    after = order.select((F.col("rank") - 1).alias("rank"), F.col("host"), F.col("uid").alias("uid2"), F.col("path").alias("path2"))
+def _nearest(read: DataFrame) -> DataFrame:
+    """uid and near, the digests of the lines of its neighbour, for the pages that have one."""
+    same = F.xxhash64("digests")
+    keys = read.filter("host <> ''").select(
+        "uid", "host", "path", same.alias("same"), F.encode(F.concat("host", F.lit("\0"), "path"), "utf-8").alias("major"), tied_minor(F.xxhash64("page_id", same), F.col("uid")).alias("minor"), F.lit(1).cast("long").alias("weight")
+    )
+    order = cut(ranked(cut(keys)).select("uid", "host", "path", "same", "rank"))
+    after = order.select((F.col("rank") - 1).alias("rank"), F.col("host"), F.col("uid").alias("uid2"), F.col("path").alias("path2"), F.col("same").alias("same2"))
 
     def common(batches):
         for b in batches:
             n = [len(os.path.commonprefix([x.as_py(), y.as_py()])) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["uid", "uid2", "common"])
 
-    pairs = order.join(after, ["rank", "host"]).select("uid", "uid2", "path", "path2").mapInArrow(common, "uid bigint, uid2 bigint, common bigint")
+    pairs = order.join(after, ["rank", "host"]).filter("same <> same2").select("uid", "uid2", "path", "path2").mapInArrow(common, "uid bigint, uid2 bigint, common bigint")
     both = pairs.select("uid", F.col("uid2").alias("near"), "common", F.lit(0).alias("first")).unionByName(pairs.select(F.col("uid2").alias("uid"), F.col("uid").alias("near"), "common", F.lit(1).alias("first")))
     nearest = both.groupBy("uid").agg(F.max_by("near", F.struct("common", "first")).alias("near_uid"))
-    lines = read.select(F.col("uid").alias("near_uid"), F.col("lines").alias("near"))
-    differing = open_pages.join(nearest, "uid", "left").join(lines, "near_uid", "left").select("page_id", "url", "lines", "zones", "near")
-    return textual(alone.unionByName(differing))
+    return nearest.join(read.select(F.col("uid").alias("near_uid"), F.col("digests").alias("near")), "near_uid").select("uid", "near")
+
+
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row per row of pages: page_id, url, text, how many lines the neighbour shares, and how many went by_markup, by_difference, by_both.
+
+    A page's neighbour is, of the two next to it in the order of host and path, the one of the same host with the
+    longer common path beginning (the earlier if equally long); one with the very same lines is a copy, which tells
+    nothing, and no neighbour. verdicts() says which lines go. A page without host has no neighbour, one without html
+    an empty text, an empty table gives an empty one. Pages of any length are read whole. Ids may be null or come
+    twice; pages with equal paths follow each other by a hash of id and text; other columns are ignored, whatever
+    their names.
+    """
+    read = _read(pages, id_col, url_col, html_col)
+    kind = read.schema["page_id"].dataType.simpleString()
+
+    def judged(batches):
+        for b in slices(batches, 256):
+            texts, counts = [], [[], [], [], []]
+            for x, r, n in zip(b.column(2), b.column(3), b.column(4), strict=True):
+                lines = x.as_py()
+                near = n.as_py()
+                shared = None if near is None else shared_lines(digests(lines), near)
+                why = verdicts(r.as_py(), shared)
+                texts.append("\n\n".join(line for line, w in zip(lines, why, strict=True) if w == KEPT))
+                for c, n in zip(counts, (len(shared or ()), *map(why.count, (BY_MARKUP, BY_DIFFERENCE, BY_BOTH))), strict=True):
+                    c.append(n)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), *[pa.array(c, pa.int32()) for c in counts]], names=["page_id", "url", "text", "shared", "by_markup", "by_difference", "by_both"])
+
+    met = read.select("uid", "page_id", "url", "lines", "roles").join(_nearest(read), "uid", "left")
+    return met.select("page_id", "url", "lines", "roles", "near").mapInArrow(judged, f"page_id {kind}, url string, text string, shared int, by_markup int, by_difference int, by_both int")

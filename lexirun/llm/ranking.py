@@ -5,12 +5,20 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Ranges aimed at, sample rows per range, and rounds of subdividing: together they bound what the driver holds.
 RANGES, PER_RANGE, ROUNDS = 2048, 24, 4
+#: Bits of a minor key that tell rows apart whose keys are otherwise equal.
+TIE_BITS = 24
+
+
+def tied_minor(key: Column, row: Column) -> Column:
+    """A minor key: the upper bits of key, a hash, and TIE_BITS of a hash of the number of the row, so that a group of rows equal in key is divisible too."""
+    low = (1 << TIE_BITS) - 1
+    return key.bitwiseAND(F.lit(~low)).bitwiseOR(F.xxhash64(row).bitwiseAND(F.lit(low)))
 
 
 def _range_of(splitters: np.ndarray):
