@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .ranking import ranked
+from .ranking import ranked, tied_minor
 
 ROW_BYTES = 16
 
@@ -19,8 +19,9 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
     subdivided. The exact weight of each range then places every record: its shard is that of the first of its
     bytes, so shards differ from total / shards by less than one record. Returns one row per row of docs: doc_id,
     size (UTF-8 bytes plus ROW_BYTES; null text: ROW_BYTES), text_crc32, shard, slot (gapless from 0 in each shard
-    that has rows). A null id takes part like any other. Rows equal in id and text get slots in any order. With
-    records larger than a shard's share, some shards may stay empty. Extra columns are ignored.
+    that has rows). A null id takes part like any other. Rows equal in id and text get slots in any order, and a group
+    of them is subdivided like any other. Texts of any length stay whole; with records larger than a shard's share,
+    some shards may stay empty. An empty table gives an empty one. Other columns are ignored, whatever their names.
     """
     raw = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
     text = F.coalesce(F.col("__text"), F.lit(""))
@@ -30,7 +31,7 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
             (F.octet_length(text) + ROW_BYTES).cast("long").alias("weight"),
             F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
             F.xxhash64(text).alias("major"),
-            F.xxhash64("doc_id").alias("minor"),
+            tied_minor(F.xxhash64("doc_id"), F.monotonically_increasing_id()).alias("minor"),
         )
     )
     shard = F.least(F.lit(shards - 1), F.floor(F.col("before") * F.lit(shards).cast("decimal(10,0)") / F.col("total"))).cast("int")

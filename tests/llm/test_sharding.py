@@ -4,6 +4,7 @@ import pytest
 
 from lexirun.llm import ranking
 from lexirun.llm.common import cut
+from lexirun.llm.queries import op1_sampled_splitters
 from lexirun.llm.sharding import assign_shards
 
 
@@ -43,6 +44,29 @@ def test_hot_group_is_subdivided(spark, monkeypatch):
     assert [(r.major, r.minor) for r in found] == sorted((r.major, r.minor) for r in found)
 
 
+def test_rows_equal_in_id_and_text_are_divisible(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "RANGES", 16)
+    seen = []
+    monkeypatch.setattr(ranking, "_array", lambda pairs, binary, made=ranking._array: seen.append(len(pairs)) or made(pairs, binary))
+    check(spark, [(7, "the same", 0)] * 1500 + [(k, f"text {k}", 0) for k in range(300)], 8)
+    assert seen[-1] > 10
+
+
+def test_query(spark, sf_dir):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    found, shards = op1_sampled_splitters(spark, sf_dir).collect(), {}
+    assert sorted(r.doc_id for r in found) == sorted(docs)
+    for r in found:
+        data = docs[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(data) + 16, zlib.crc32(data), "bytes", None)
+        shards.setdefault(r.shard, []).append(r)
+    total, largest = sum(r.size for r in found), max(r.size for r in found)
+    assert set(shards) <= set(range(40))
+    for rows in shards.values():
+        assert sorted(r.slot for r in rows) == list(range(len(rows)))
+        assert abs(sum(r.size for r in rows) - total / 40) <= largest
+
+
 def test_order_by_bytes(spark):
     words = [f"{k % 7}/{k}".encode() for k in range(500)]
     keys = cut(spark.createDataFrame([(bytearray(w), 1, 1) for w in words], "major binary, minor bigint, weight bigint"))
