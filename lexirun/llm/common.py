@@ -75,22 +75,41 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
+def spread_of(groups: DataFrame, weight: str, total: int) -> DataFrame:
+    """Of groups (keys and weight, the number of rows with the keys) the hot ones, with __parts: over how many places to spread their rows.
+
+    A place gets at most total / HOT_PARTS rows, so there are fewer than HOT_PARTS hot groups, and fewer than
+    2 * HOT_PARTS places. The result has the keys and __parts only, and may be broadcast.
+    """
+    parts = F.ceil(F.col(weight) * HOT_PARTS / F.lit(total)).cast("int")
+    return cut(groups.filter(F.col(weight) * HOT_PARTS > F.lit(total)).select(*[c for c in groups.columns if c != weight], parts.alias("__parts")))
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """rows left-joined with groups, which have a key once; hot: what spread_of found of the keys among rows.
+
+    Rows of a hot key are dealt to its places, to each of which its group is copied, so none gathers in one task.
+    Rows with a null in their key match nothing and are dealt over all tasks.
+    """
+    row = F.xxhash64(F.monotonically_increasing_id())
+    place = F.when(F.col("__parts").isNotNull(), F.pmod(row, F.col("__parts"))).otherwise(F.lit(0))
+    null = F.lit(False)
+    for k in keys:
+        null |= F.col(k).isNull()
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("__place", F.when(null, -1 - F.pmod(row, F.lit(1_000_003))).otherwise(place).cast("bigint")).drop("__parts")
+    copied = groups.join(F.broadcast(hot), keys, "left").withColumn("__place", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("__parts", F.lit(1)).cast("bigint") - 1))).drop("__parts")
+    return dealt.join(copied, [*keys, "__place"], "left").drop("__place")
+
+
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
     """rows left-joined with groups (one row per key, cut before; weight: how many rows have the key).
 
-    Few groups are broadcast. Otherwise the hot ones, fewer than HOT_PARTS by their definition, are
-    broadcast and their rows spread by a key that matches nothing, and only the others meet in a shuffle,
-    where no key has more than total / HOT_PARTS rows.
+    Few groups are broadcast; otherwise hot keys are spread, see spread_join.
     """
     if groups.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(groups), keys, "left")
-    is_hot = F.col(weight) * HOT_PARTS > F.lit(total)
     added = [c for c in groups.columns if c not in keys]
-    hot = groups.filter(is_hot).select(*keys, *[F.col(c).alias(f"__hot_{c}") for c in added], F.lit(True).alias("__hot"))
-    cold = groups.filter(~is_hot).withColumn("__apart", F.lit(0).cast("long"))
-    out = rows.join(F.broadcast(hot), keys, "left").withColumn("__apart", F.when(F.col("__hot"), 1 + F.pmod(F.monotonically_increasing_id(), F.lit(100_003))).otherwise(F.lit(0)).cast("long"))
-    out = out.join(cold, [*keys, "__apart"], "left")
-    return out.select(*rows.columns, *[F.coalesce(F.col(f"__hot_{c}"), F.col(c)).alias(c) for c in added])
+    return spread_join(rows, groups, keys, spread_of(groups.select(*keys, weight), weight, total)).select(*rows.columns, *added)
 
 
 def only_ids(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:

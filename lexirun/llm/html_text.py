@@ -12,6 +12,7 @@ from __future__ import annotations
 import html as entities
 import os.path
 import re
+import zlib
 from collections import Counter
 from functools import lru_cache
 from urllib.parse import urlsplit
@@ -22,8 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
-from .ranking import ranked, tied_minor
+from .common import cut, slices, spread_join, spread_of
+from .ranking import ranked
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -291,44 +292,52 @@ def host_and_path(url: str | None) -> tuple[str, str]:
         return "", ""
 
 
-PARSED = "host string, path string, lines array<string>, roles array<tinyint>, digests array<bigint>"
+def _raw(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
 
 
-def _read(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """All pages parsed, cut: page_id, url, host, path, lines, roles, digests, uid."""
-    raw = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    kind = raw.schema["page_id"].dataType.simpleString()
+def _row_key(page_id, url: str | None, html: str | None) -> bytes:
+    """Names a row by what is in it, so that it has one name however often it is read; equal rows have equal texts."""
+    return xxhash.xxh3_128_digest(repr((page_id, url, html)).encode("utf-8", "replace"))
 
-    def parsed(batches):
-        for b in slices(batches, 256):
-            places = [host_and_path(u.as_py()) for u in b.column(1)]
-            found = [lines_of(h.as_py() or "") for h in b.column(2)]
-            lines = [[x[0] for x in f] for f in found]
-            cols = [pa.array([p[k] for p in places], pa.string()) for k in (0, 1)]
-            cols += [pa.array(lines, pa.list_(pa.string())), pa.array([[x[1] for x in f] for f in found], pa.list_(pa.int8())), pa.array([digests(x) for x in lines], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["page_id", "url", "host", "path", "lines", "roles", "digests"])
 
-    return cut(raw.mapInArrow(parsed, f"page_id {kind}, url string, {PARSED}").withColumn("uid", F.monotonically_increasing_id()))
+def _outlines(raw: DataFrame) -> DataFrame:
+    """For each distinct row, cut: key, how many rows it stands for, host, path, the digests of its lines, and a hash of page_id and these."""
 
-
-def _nearest(read: DataFrame) -> DataFrame:
-    """uid and near, the digests of the lines of its neighbour, for the pages that have one."""
-    same = F.xxhash64("digests")
-    keys = read.filter("host <> ''").select(
-        "uid", "host", "path", same.alias("same"), F.encode(F.concat("host", F.lit("\0"), "path"), "utf-8").alias("major"), tied_minor(F.xxhash64("page_id", same), F.col("uid")).alias("minor"), F.lit(1).cast("long").alias("weight")
-    )
-    order = cut(ranked(cut(keys)).select("uid", "host", "path", "same", "rank"))
-    after = order.select((F.col("rank") - 1).alias("rank"), F.col("host"), F.col("uid").alias("uid2"), F.col("path").alias("path2"), F.col("same").alias("same2"))
+    def outlined(batches):
+        names = ["key", "host", "path", "digests", "minor", "same"]
+        for b in slices(batches, 256):
+            cols = [[] for _ in names]
+            for i, u, h in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                i, u, h = i.as_py(), u.as_py(), h.as_py()
+                found = digests([x for x, _ in lines_of(h or "")])
+                same = xxhash.xxh3_64_intdigest(np.array(found, np.int64).tobytes())
+                minor = xxhash.xxh3_64_intdigest(repr(i).encode(), seed=same)
+                for col, value in zip(cols, (_row_key(i, u, h), *host_and_path(u), found, minor - (1 << 63), same - (1 << 63)), strict=True):
+                    col.append(value)
+            types = [pa.binary(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+    rows = raw.mapInArrow(outlined, "key binary, host string, path string, digests array<bigint>, minor bigint, same bigint")
+    rest = [F.first(c).alias(c) for c in rows.columns if c != "key"]
+    return cut(rows.groupBy("key").agg(F.count("*").alias("rows"), *rest))
+
+
+def _nearest(outlines: DataFrame) -> DataFrame:
+    """key and near, the digests of the lines of its neighbour, for the pages that have one."""
+    keys = outlines.filter("host <> ''").select("key", "host", "path", "same", F.encode(F.concat("host", F.lit("\0"), "path"), "utf-8").alias("major"), "minor", F.lit(1).cast("long").alias("weight"))
+    order = cut(ranked(cut(keys)).select("key", "host", "path", "same", "rank"))
+    after = order.select((F.col("rank") - 1).alias("rank"), F.col("host"), F.col("key").alias("key2"), F.col("path").alias("path2"), F.col("same").alias("same2"))
 
     def common(batches):
         for b in batches:
             n = [len(os.path.commonprefix([x.as_py(), y.as_py()])) for x, y in zip(b.column(2), b.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["uid", "uid2", "common"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["key", "key2", "common"])
 
-    pairs = order.join(after, ["rank", "host"]).filter("same <> same2").select("uid", "uid2", "path", "path2").mapInArrow(common, "uid bigint, uid2 bigint, common bigint")
-    both = pairs.select("uid", F.col("uid2").alias("near"), "common", F.lit(0).alias("first")).unionByName(pairs.select(F.col("uid2").alias("uid"), F.col("uid").alias("near"), "common", F.lit(1).alias("first")))
-    nearest = both.groupBy("uid").agg(F.max_by("near", F.struct("common", "first")).alias("near_uid"))
-    return nearest.join(read.select(F.col("uid").alias("near_uid"), F.col("digests").alias("near")), "near_uid").select("uid", "near")
+    pairs = order.join(after, ["rank", "host"]).filter("same <> same2").select("key", "key2", "path", "path2").mapInArrow(common, "key binary, key2 binary, common bigint")
+    both = pairs.select("key", F.col("key2").alias("near"), "common", F.lit(0).alias("first")).unionByName(pairs.select(F.col("key2").alias("key"), F.col("key").alias("near"), "common", F.lit(1).alias("first")))
+    nearest = both.groupBy("key").agg(F.max_by("near", F.struct("common", "first")).alias("near_key"))
+    return nearest.join(outlines.select(F.col("key").alias("near_key"), F.col("digests").alias("near")), "near_key").select("key", "near")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -338,24 +347,38 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     longer common path beginning (the earlier if equally long); one with the very same lines is a copy, which tells
     nothing, and no neighbour. verdicts() says which lines go. A page without host has no neighbour, one without html
     an empty text, an empty table gives an empty one. Pages of any length are read whole. Ids may be null or come
-    twice; pages with equal paths follow each other by a hash of id and text; other columns are ignored, whatever
-    their names.
+    twice; pages with equal paths follow each other by a hash of id and text, rows that repeat count once; other
+    columns are ignored, whatever their names.
+
+    Pages are parsed twice, first for the outlines, then for the text: so only the lines, packed, are shuffled, and
+    none is written.
     """
-    read = _read(pages, id_col, url_col, html_col)
-    kind = read.schema["page_id"].dataType.simpleString()
+    raw = _raw(pages, id_col, url_col, html_col)
+    kind = raw.schema["page_id"].dataType.simpleString()
+    outlines = _outlines(raw)
+    total = max(1, outlines.agg(F.sum("rows")).first()[0] or 0)
+    copies = spread_of(outlines.select("key", "rows"), "rows", total)
+
+    def packed(batches):
+        for b in slices(batches, 256):
+            found = [lines_of(h.as_py() or "") for h in b.column(2)]
+            keys = [_row_key(i.as_py(), u.as_py(), h.as_py()) for i, u, h in zip(b.column(0), b.column(1), b.column(2), strict=True)]
+            lines = [zlib.compress("\n".join(x for x, _ in f).encode("utf-8", "replace")) for f in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(lines, pa.binary()), pa.array([bytes(r for _, r in f) for f in found], pa.binary())], names=["page_id", "url", "key", "lines", "roles"])
 
     def judged(batches):
         for b in slices(batches, 256):
             texts, counts = [], [[], [], [], []]
             for x, r, n in zip(b.column(2), b.column(3), b.column(4), strict=True):
-                lines = x.as_py()
-                near = n.as_py()
+                roles, near = list(r.as_py()), n.as_py()
+                lines = zlib.decompress(x.as_py()).decode().split("\n") if roles else []
                 shared = None if near is None else shared_lines(digests(lines), near)
-                why = verdicts(r.as_py(), shared)
+                why = verdicts(roles, shared)
                 texts.append("\n\n".join(line for line, w in zip(lines, why, strict=True) if w == KEPT))
                 for c, n in zip(counts, (len(shared or ()), *map(why.count, (BY_MARKUP, BY_DIFFERENCE, BY_BOTH))), strict=True):
                     c.append(n)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), *[pa.array(c, pa.int32()) for c in counts]], names=["page_id", "url", "text", "shared", "by_markup", "by_difference", "by_both"])
 
-    met = read.select("uid", "page_id", "url", "lines", "roles").join(_nearest(read), "uid", "left")
+    rows = raw.mapInArrow(packed, f"page_id {kind}, url string, key binary, lines binary, roles binary")
+    met = spread_join(rows, _nearest(outlines), ["key"], copies)
     return met.select("page_id", "url", "lines", "roles", "near").mapInArrow(judged, f"page_id {kind}, url string, text string, shared int, by_markup int, by_difference int, by_both int")
