@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -53,17 +54,22 @@ class Rules:
     dummy_prefix: bool
     squeeze: bool
     escape: bool
+    #: Pieces that pass as they are, wherever they stand.
+    fixed: re.Pattern[bytes] | None = None
 
 
-def normalise(text: str, rules: Rules) -> tuple[bytes, np.ndarray]:
-    """The normalised bytes of text, and for each of them, and for their end, the offset of its source byte in UTF-8."""
+def normalise(text: str, rules: Rules, align: bool = True) -> tuple[bytes, np.ndarray | None]:
+    """The normalised bytes of text, and, if asked to align, for each of them, and for their end, the offset of its source byte in UTF-8."""
     data, mark = text.encode("utf-8", "replace"), (SPACE if rules.escape else " ").encode()
-    if not len(rules.charmap.units) and not rules.squeeze:
+    if not len(rules.charmap.units) and not rules.squeeze:  # each byte is its own longest prefix
+        if not align:
+            return mark * (rules.dummy_prefix and data != b"") + data.replace(b" ", mark), None
         return _replace_spaces(data, mark, rules.dummy_prefix)
     out, source, at, after_space = bytearray(), [], 0, rules.squeeze
     parts: list[tuple[bytes, int, int]] = []
     while at < len(data):
-        found = rules.charmap.longest(data, at)
+        whole = rules.fixed.match(data, at) if rules.fixed else None
+        found = (len(whole[0]), whole[0]) if whole else rules.charmap.longest(data, at)
         if found is None:
             size = 1 if data[at] < 0x80 else 2 if data[at] < 0xE0 else 3 if data[at] < 0xF0 else 4
             found = size, data[at : at + size]
@@ -109,34 +115,46 @@ def _replace_spaces(data: bytes, mark: bytes, prefix: bool) -> tuple[bytes, np.n
 
 
 class Encoder:
-    """Encodes texts as the library does for one model, and projects its pieces to the original bytes."""
+    """Encodes as the library does for one model: normalises itself, has the result cut into pieces, and projects these to the original bytes.
+
+    The segmenter is the library with the same pieces and no normalisation of its own, so what it sees is what
+    normalise() made.
+    """
 
     def __init__(self, model: str):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         with open(model, "rb") as f:
-            self.blob = f.read()
+            blob = f.read()
         proto = pb.ModelProto()
-        proto.ParseFromString(self.blob)
-        self.library = sentencepiece.SentencePieceProcessor(model_proto=self.blob)
+        proto.ParseFromString(blob)
+        if proto.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError(f"white space as suffix isn't supported: {model}")
         n, kinds = proto.normalizer_spec, pb.ModelProto.SentencePiece
-        self.rules = Rules(CharacterMap(n.precompiled_charsmap), n.add_dummy_prefix, n.remove_extra_whitespaces, n.escape_whitespaces)
+        fixed = sorted((p.piece.encode() for p in proto.pieces if p.type == kinds.USER_DEFINED), key=len, reverse=True)
+        self.rules = Rules(CharacterMap(n.precompiled_charsmap), n.add_dummy_prefix, n.remove_extra_whitespaces, n.escape_whitespaces, re.compile(b"|".join(map(re.escape, fixed))) if fixed else None)
         self.width = np.array([1 if p.type == kinds.BYTE else len(p.piece.encode()) for p in proto.pieces], np.int64)
-
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """The ids, and the same as decimal numbers with commas between."""
-        ids = self.library.encode(text)
-        return ids, ",".join(map(str, ids))
-
-    def spans(self, text: str, ids: list[int]) -> np.ndarray:
-        """For each id, start and end of its source in the UTF-8 bytes of text; an id without own bytes gets an empty span."""
-        norm, source = normalise(text, self.rules)
+        self.decoder = sentencepiece.SentencePieceProcessor(model_proto=blob)
+        n.Clear()
+        n.name, n.add_dummy_prefix, n.remove_extra_whitespaces, n.escape_whitespaces = "identity", False, False, False
+        self.segmenter = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+
+    def encode(self, text: str, align: bool = True) -> tuple[list[int], np.ndarray | None]:
+        """The ids, and, if asked to align, for each of them start and end of its source in the UTF-8 bytes of text; an id without own bytes gets an empty span."""
+        data, source = normalise(text, self.rules, align)
+        norm = data.decode("utf-8")
+        ids = self.segmenter.encode(norm)
+        if not align:
+            return ids, None
         ends = np.cumsum(self.width[np.array(ids, np.int32)])
-        if len(ids) and ends[-1] != len(norm):  # unknown pieces: the library alone knows how much each took
-            ends = np.cumsum([len(p.piece.encode()) if p.id == self.library.unk_id() or self.width[p.id] != 1 or not p.piece.startswith("<0x") else 1 for p in self.library.encode(text, return_type="proto").pieces])
+        if len(ids) and ends[-1] != len(data):  # unknown pieces: the segmenter alone knows how much each took
+            ends = np.cumsum([len(p.surface.encode()) if not self.segmenter.is_byte(p.id) else 1 for p in self.segmenter.encode(norm, return_type="proto").pieces])
         edges = source[np.concatenate([[0], ends])]
-        return np.stack([edges[:-1], edges[1:]], axis=1).astype(np.int64)
+        return ids, np.stack([edges[:-1], edges[1:]], axis=1).astype(np.int64)
+
+    def decode(self, ids: list[int]) -> str:
+        return self.decoder.decode(ids)
 
 
 @lru_cache(2)
@@ -148,15 +166,19 @@ def _sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-#: What encode_documents can return: type for Spark, type for Arrow, and how it comes from text, ids, their text, spans and decoder.
+def _said(ids: list[int]) -> str:
+    return ",".join(map(str, ids))
+
+
+#: What encode_documents can return: type for Spark, type for Arrow, and how it comes from encoder, ids and spans.
 COLUMNS = {
-    "ids": ("array<int>", pa.list_(pa.int32()), lambda e, t, ids, said, spans: np.array(ids, np.int32)),
-    "spans": ("array<bigint>", pa.list_(pa.int64()), lambda e, t, ids, said, spans: spans.ravel()),
-    "decoded": ("string", pa.string(), lambda e, t, ids, said, spans: e.library.decode(ids)),
-    "n_tokens": ("bigint", pa.int64(), lambda e, t, ids, said, spans: len(ids)),
-    "ids_sha256": ("string", pa.string(), lambda e, t, ids, said, spans: _sha(said.encode())),
-    "decoded_sha256": ("string", pa.string(), lambda e, t, ids, said, spans: _sha(e.library.decode(ids).encode())),
-    "spans_sha256": ("string", pa.string(), lambda e, t, ids, said, spans: _sha(spans.astype("<i8").tobytes())),
+    "ids": ("array<int>", pa.list_(pa.int32()), lambda e, ids, spans: np.array(ids, np.int32)),
+    "spans": ("array<bigint>", pa.list_(pa.int64()), lambda e, ids, spans: spans.ravel()),
+    "decoded": ("string", pa.string(), lambda e, ids, spans: e.decode(ids)),
+    "n_tokens": ("bigint", pa.int64(), lambda e, ids, spans: len(ids)),
+    "ids_sha256": ("string", pa.string(), lambda e, ids, spans: _sha(_said(ids).encode())),
+    "decoded_sha256": ("string", pa.string(), lambda e, ids, spans: _sha(e.decode(ids).encode())),
+    "spans_sha256": ("string", pa.string(), lambda e, ids, spans: _sha(spans.astype("<i8").tobytes())),
 }
 
 
@@ -164,21 +186,21 @@ def encode_documents(docs: DataFrame, model: str, columns: tuple[str, ...] = ("i
     """One row per row of docs: doc_id and the asked columns (see COLUMNS).
 
     ids are those of the library without begin or end ids; spans has start, end, start, end ... in bytes of the
-    text; decoded is the library's text for ids. A null text is empty and has no ids. Texts are encoded whole.
-    Ids may be null or come twice; other columns are ignored. model: a path that every executor has.
+    text; decoded is the library's text for ids. A null text is empty and has no ids. Texts of any length are encoded
+    whole; an empty table gives an empty one. Ids may be null or come twice; other columns are ignored, whatever their
+    names. model: a path that every executor has.
     """
     kinds = [COLUMNS[c] for c in columns]
+    align = any(c.startswith("spans") for c in columns)
 
     def encoded(batches):
         e = encoder(model)
         for b in slices(batches, SLICE):  # ids and spans take many times the room of their text
             out = [[] for _ in columns]
             for t in b.column(1):
-                text = t.as_py() or ""
-                ids, said = e.encode(text)
-                spans = e.spans(text, ids)
+                ids, spans = e.encode(t.as_py() or "", align)
                 for values, kind in zip(out, kinds, strict=True):
-                    values.append(kind[2](e, text, ids, said, spans))
+                    values.append(kind[2](e, ids, spans))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(v, k[1]) for v, k in zip(out, kinds, strict=True)]], names=["doc_id", *columns])
 
     raw = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

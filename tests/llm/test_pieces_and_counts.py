@@ -20,12 +20,12 @@ def texts(seed=1, n=1500):
 
 
 def test_ids_and_spans():
-    e = Encoder(MODEL)
+    e, library = Encoder(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
     for text in texts():
-        ids, said = e.encode(text)
-        assert ids == e.library.encode(text) and said == ",".join(map(str, ids))
-        spans, data = e.spans(text, ids).tolist(), text.encode()
-        proto = e.library.encode(text, return_type="proto").pieces
+        ids, spans = e.encode(text)
+        assert ids == library.encode(text) == e.encode(text, False)[0] and e.decode(ids) == library.decode(ids)
+        spans, data = spans.tolist(), text.encode()
+        proto = library.encode(text, return_type="proto").pieces
         # bytes of one character have a span each here; the library gives the last of them all of it
         assert [s for s, p in zip(spans, proto, strict=True) if not p.piece.startswith("<0x")] == [[p.begin, p.end] for p in proto if not p.piece.startswith("<0x")]
         assert not spans or (spans[0][0] == 0 and spans[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False)))
@@ -47,6 +47,35 @@ def test_normalising_by_character_map(rule, prefix, squeeze):
         assert len(source) == len(data) + 1 and (source[1:] >= source[:-1]).all() and source[-1] <= len(text.encode())
 
 
+@pytest.mark.parametrize("rule, prefix, squeeze, symbols", [("nmt_nfkc", True, True, ()), ("nmt_nfkc_cf", False, True, ()), ("nfkc", True, False, ("ﬁx", "ａb", "ｃ")), ("identity", True, True, ("e  f",))])
+def test_models_with_a_character_map(spark, tmp_path, rule, prefix, squeeze, symbols):
+    """The public pieces with other rules: ids, text and spans of whole tables, all by way of our normalisation."""
+    own, model = pb.ModelProto(), pb.ModelProto()
+    own.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=prefix, escape_whitespaces=True, remove_extra_whitespaces=squeeze).serialized_model_proto())
+    with open(MODEL, "rb") as f:
+        model.ParseFromString(f.read())
+    model.normalizer_spec.CopyFrom(own.normalizer_spec)
+    for k, symbol in enumerate(symbols):
+        piece = model.pieces[-1 - k]
+        piece.piece, piece.type = symbol, pb.ModelProto.SentencePiece.USER_DEFINED
+    path = tmp_path / "rules.model"
+    path.write_bytes(model.SerializeToString())
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    every = texts(4, 400) + ["Ａｂｃ ﬁn  Ⅳ", " ①②  ", "ｶﾞ", "e\u0301", "x ﬁx yaｃａb", "the  f  e  f"]
+    found = {r.doc_id: r for r in encode_documents(spark.createDataFrame(list(enumerate(every)), "doc_id bigint, text string"), str(path)).collect()}
+    changed = 0
+    for k, text in enumerate(every):
+        r, data = found[k], text.encode()
+        assert list(r.ids) == library.encode(text) and r.decoded == library.decode(list(r.ids))
+        spans = list(zip(r.spans[::2], r.spans[1::2], strict=True))
+        assert all(a <= b <= len(data) for a, b in spans) and all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False))
+        pieces = library.encode(text, return_type="proto").pieces
+        plain = [(s, (p.begin, p.end)) for s, p in zip(spans, pieces, strict=True) if not p.piece.startswith("<0x")]
+        assert rule != "identity" or all(s == t for s, t in plain[1:-1])
+        changed += library.normalize(text) != Encoder(MODEL).decoder.normalize(text)
+    assert changed > 50
+
+
 def test_counts_against_the_library():
     vocabulary = unigram_vocabulary(MODEL)
     library = Tokenizer(models.Unigram(vocabulary, 0, True))
@@ -66,11 +95,11 @@ def test_ties_go_to_the_longer_last_piece():
 
 def test_tables(spark):
     df = spark.createDataFrame([(1, "ab c", 0), (None, None, 1), (1, "", 2), (2, "x é" * 40_000, 3)], "doc_id bigint, text string, ids int")
-    e = Encoder(MODEL)
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     found = encode_documents(df, MODEL).collect()
     assert len(found) == 4
     for r in found:
-        assert r.decoded == e.library.decode(r.ids) and len(r.spans) == 2 * len(r.ids)
+        assert r.decoded == library.decode(r.ids) and len(r.spans) == 2 * len(r.ids)
     assert {r.n_tokens for r in count_tokens(df, MODEL).filter("doc_id is null").collect()} == {0}
     assert encode_documents(df.limit(0), MODEL).count() == count_tokens(df.limit(0), MODEL).count() == 0
 
