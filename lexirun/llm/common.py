@@ -7,12 +7,16 @@ import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-#: A table of at most this many narrow rows may be broadcast; its rows are counted first.
-BROADCAST_ROWS = 100_000
+#: A table of at most this many rows and bytes may be broadcast; both are counted first.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 #: A group is hot when it holds more than 1/HOT_PARTS of all rows, so there are fewer than HOT_PARTS hot groups.
 HOT_PARTS = 1000
 
@@ -30,15 +34,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset and all is in one JVM, as in tests, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lexirun-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: The tables that cut() wrote since the scopes that are open began, innermost last.
+_scopes: list[list[DataFrame]] = []
+
+
 def cut(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """df, written once as Parquet in the shared folder and read again: lost executors cost no more than a task."""
     spark = df.sparkSession
@@ -46,6 +56,8 @@ def cut(df: DataFrame, partitions: int | None = None) -> DataFrame:
     (df if partitions is None else df.coalesce(partitions)).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
@@ -57,6 +69,20 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def scratch():
+    """Tables cut within are deleted at its end, but for those given to the function that it yields, which pass to the scope around it, if any."""
+    _scopes.append([])
+    kept: list[DataFrame] = []
+    try:
+        yield lambda *tables: kept.extend(tables)
+    finally:
+        made, paths = _scopes.pop(), {df.cut_path for df in kept}
+        discard(*[df for df in made if df.cut_path not in paths])
+        if _scopes:
+            _scopes[-1].extend(df for df in made if df.cut_path in paths)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete shuffle files that nothing needs any more; it does so when the driver's JVM collects garbage."""
     gc.collect()
@@ -101,19 +127,69 @@ def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], hot: DataFr
     return dealt.join(copied, [*keys, "__place"], "left").drop("__place")
 
 
+def _width(kind: DataType, value: Column) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, StructType):
+        return sum((_width(f.dataType, value[f.name]) for f in kind.fields), F.lit(0))
+    if isinstance(kind, StringType | BinaryType):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        return F.greatest(F.size(value), F.lit(0)) * 8 + 16
+    return F.lit(8)
+
+
+def fits(df: DataFrame, times: int = 1) -> bool:
+    """Whether df, cut before, may be broadcast: its rows (to times BROADCAST_ROWS) and bytes are counted."""
+    width = sum((_width(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(0))
+    rows, bytes_ = df.agg(F.count("*"), F.coalesce(F.sum(width.cast("bigint")), F.lit(0))).first()
+    return rows <= BROADCAST_ROWS * times and bytes_ <= BROADCAST_BYTES
+
+
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
     """rows left-joined with groups (one row per key, cut before; weight: how many rows have the key).
 
     Few groups are broadcast; otherwise hot keys are spread, see spread_join.
     """
-    if groups.count() <= BROADCAST_ROWS:
+    if fits(groups):
         return rows.join(F.broadcast(groups), keys, "left")
     added = [c for c in groups.columns if c not in keys]
     return spread_join(rows, groups, keys, spread_of(groups.select(*keys, weight), weight, total)).select(*rows.columns, *added)
 
 
-def only_ids(rows: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
-    """rows whose key is in ids (or, left_anti, isn't); ids was cut before, has no key twice, and is broadcast if its count allows."""
-    if ids.count() <= BROADCAST_ROWS * 10:
-        ids = F.broadcast(ids)
-    return rows.join(ids, key, how)
+def lookup(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """rows left-joined with groups (one row per key), both cut before; as attach, but the weights are counted here, and only where they are needed."""
+    if fits(groups):
+        return rows.join(F.broadcast(groups), keys, "left")
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    return spread_join(rows, groups, keys, spread_of(sizes, "__n", max(1, rows.count())))
+
+
+def only_ids(rows: DataFrame, ids: DataFrame, key: str | list[str], how: str = "left_semi") -> DataFrame:
+    """rows whose key is in ids (or, left_anti, isn't); ids was cut before, has no key twice, and is broadcast if it fits."""
+    return rows.join(F.broadcast(ids) if fits(ids, 10) else ids, key, how)
+
+
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """docs with each row as one struct, `row`, beside columns of our own: no name in docs can clash with them."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits that name a row by its id and text, never null; rows equal in both are one."""
+    parts = [F.isnull(doc_id), doc_id, F.isnull(text), text]
+    return F.struct(F.xxhash64(*parts).alias("k1"), F.xxhash64(*reversed(parts), F.lit("second")).alias("k2"))
+
+
+def keep_where(docs: DataFrame, text_col: str, judge: Callable[[], Callable[[str], bool]], rows: int = 256) -> DataFrame:
+    """The rows of docs, all columns, whose text passes: judge() is called once in a task and gives the test. A null text is empty.
+
+    Each row is judged where it lies, so nothing is shuffled and rows that share an id, or have none, don't share a fate.
+    """
+    at = docs.columns.index(text_col)
+
+    def kept(batches):
+        passes = judge()
+        for b in slices(batches, rows):
+            yield b.filter(pa.array([passes(t.as_py() or "") for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)

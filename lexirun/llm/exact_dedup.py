@@ -6,14 +6,29 @@ hash are those of another row too.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ascii_lower, attach, cut
+from .common import ascii_lower, attach, cut, packed
 
 PREFIX_CHARS = 64
 
 
+def _signed(text: Column) -> dict[str, Column]:
+    """What the first two levels compare: the length in bytes, and a hash of the beginning."""
+    whole = F.coalesce(text, F.lit(""))
+    return {"__len": F.octet_length(whole).cast("long"), "__prefix": F.xxhash64(ascii_lower(F.substring(whole, 1, PREFIX_CHARS)))}
+
+
+def _surviving(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The groups by length and prefix hash that have two rows or more, with their size __n; and how many rows there are."""
+    small = cut(rows.select("__len", "__prefix"))
+    total = small.count()
+    by_len = cut(small.groupBy("__len").agg(F.count("*").alias("__n")).filter("__n > 1"))
+    left = attach(small, by_len, ["__len"], "__n", total).filter("__n is not null")
+    return cut(left.groupBy("__len", "__prefix").agg(F.count("*").alias("__n")).filter("__n > 1")), total
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_digest: bool = False) -> DataFrame:
     """Which rows of docs stay when equal texts (A-Z lower-cased, null is empty) are collapsed.
 
@@ -21,17 +36,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (SHA-256 of the normalised text for rows that reached the last level, else null, or for all rows
     with_digest), and uid, a number of the row. Exactly one row of each group is kept: of rows with the largest
     id twice any one. A null id is smaller than all others. Columns of docs other than these two are ignored,
-    whatever their names. An empty table gives an empty one.
+    whatever their names. Texts of any length are compared whole; an empty table gives an empty one.
     """
     raw = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
-    text = F.coalesce(F.col("__text"), F.lit(""))
-    rows = raw.withColumns({"__len": F.octet_length(text).cast("long"), "__prefix": F.xxhash64(ascii_lower(F.substring(text, 1, PREFIX_CHARS)))})
-
-    small = cut(rows.select("__len", "__prefix"))
-    total = small.count()
-    by_len = cut(small.groupBy("__len").agg(F.count("*").alias("__n")).filter("__n > 1"))
-    left = attach(small, by_len, ["__len"], "__n", total).filter("__n is not null")
-    by_prefix = cut(left.groupBy("__len", "__prefix").agg(F.count("*").alias("__n")).filter("__n > 1"))
+    rows = raw.withColumns(_signed(F.col("__text")))
+    by_prefix, total = _surviving(rows)
 
     full = F.sha2(ascii_lower(F.col("__text")), 256)
     met = attach(rows, by_prefix, ["__len", "__prefix"], "__n", total)
@@ -59,16 +68,23 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs, all columns, without the rows that exact_dedup drops."""
-    found = exact_dedup(docs)
-    per_row = found.filter("group_size > 1").groupBy("doc_id", "content").agg(F.max("kept").alias("__stays"), F.count("*").alias("__times"))
-    verdict = cut(per_row.filter("not __stays or __times > 1"))
-    marked = docs.withColumn("__content", F.sha2(ascii_lower(F.col("text")), 256))
-    few = verdict.count() <= BROADCAST_ROWS * 10
-    verdict = verdict.select(F.col("doc_id").alias("__id"), F.col("content").alias("__same"), "__stays")
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__content") == F.col("__same"))
-    met = marked.join(F.broadcast(verdict) if few else verdict, on, "left")
-    names = docs.columns
-    clean = met.filter("__stays is null").select(*names)
-    again = met.filter("__stays").dropDuplicates(["doc_id", "__content"]).select(*names)
-    return clean.unionByName(again)
+    """docs, all columns, without the rows that exact_dedup drops.
+
+    The full text is hashed only of rows whose length and prefix another row has too. Of rows with a group's largest
+    id twice any one stays; a null id is smaller than all others, a null text is empty. Columns may have any names;
+    an empty table gives an empty one.
+    """
+    rows = packed(docs, id=F.col("doc_id"), text=F.col("text")).withColumns(_signed(F.col("text")))
+    by_prefix, total = _surviving(rows)
+    met = attach(rows, by_prefix, ["__len", "__prefix"], "__n", total)
+    content = F.when(F.col("__n").isNotNull(), F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256))
+    met = met.select("row", "id", content.alias("content"))
+    same = cut(met.filter("content is not null").groupBy("content", "id").agg(F.count("*").alias("times")))
+    groups = cut(same.groupBy("content").agg(F.sum("times").alias("size"), F.max(F.struct("id", "times")).alias("best")).filter("size > 1"))
+    judged = attach(met, groups, ["content"], "size", total)
+    stays = judged.filter("size is null or (id <=> best.id and best.times = 1)").select("row.*")
+    again = groups.filter("best.times > 1")
+    if again.isEmpty():
+        return stays
+    repeated = judged.filter("id <=> best.id and best.times > 1").groupBy("content").agg(F.first("row").alias("row"))
+    return stays.unionByName(repeated.select("row.*"))

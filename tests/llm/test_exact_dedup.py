@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from lexirun.llm import common
+from lexirun.llm.components import components
 from lexirun.llm.exact_dedup import drop_copies, exact_dedup
 
 SCHEMA = "doc_id bigint, text string, keep_id string, kept string, __len int"
@@ -78,3 +79,70 @@ def test_attach_spreads_hot_keys(spark, monkeypatch):
     got = {r.v: (r.n, r.top) for r in common.attach(left, groups, ["key"], "n", 200).collect()}
     known = {r.key: (r.n, r.top) for r in groups.collect()}
     assert got == {r.v: known.get(r.key, (None, None)) for r in left.collect()}
+
+
+def test_dropping_copies_with_odd_rows_and_names(spark):
+    schema = "doc_id bigint, text string, row string, id int, __len int, __content string, size string"
+    data = [(None, "a", "x"), (None, "A", "x"), (7, "b", "x"), (7, "B", "x"), (7, "c", "x"), (None, "z", "x"), (3, "z", "x"), (8, None, "x"), (9, "", "x"), (1, "y" * 300_000, "x"), (2, "Y" * 300_000, "x")]
+    df = spark.createDataFrame([(*r, 1, 2, "c", "s") for r in data], schema)
+    kept = drop_copies(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id or 0, low(r.text)[:3]) for r in kept.collect()), key=str) == sorted([(0, "a"), (7, "b"), (7, "c"), (3, "z"), (9, ""), (2, "yyy")], key=str)
+    assert drop_copies(df.limit(0)).count() == 0
+
+
+def largest_share(df):
+    """Of the rows that one partition holds at most."""
+    sizes = [r.n for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    return max(sizes) / sum(sizes)
+
+
+def test_no_key_gathers_in_one_partition(spark, monkeypatch):
+    """Null keys and hot keys, beyond the broadcast limits and without help by Spark's own re-planning."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(common, "HOT_PARTS", 50)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        rows = common.cut(spark.range(6000).select(F.expr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 'hot' ELSE cast(id AS string) END").alias("key"), F.col("id").alias("v")))
+        groups = common.cut(rows.filter("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("first")))
+        for met in (common.attach(rows, groups, ["key"], "n", 6000), common.lookup(rows, groups, ["key"])):
+            assert largest_share(met) < 0.15
+            assert met.filter("key = 'hot' and first <> 1 or key is null and first is not null").count() == 0 and met.filter("first is not null").count() == 4000
+        hub = [(0, k) for k in range(1, 2000)] + [(5000 + k, 5001 + k) for k in range(30)]
+        found = {r.node: r.comp for r in components(spark.createDataFrame(hub, "a bigint, b bigint")).collect()}
+        assert found == {**{k: 0 for k in range(2000)}, **{5000 + k: 5000 for k in range(31)}}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_scratch_leaves_only_what_is_kept(spark):
+    import os
+
+    with common.scratch() as keep:
+        a, b = common.cut(spark.range(3)), common.cut(spark.range(4))
+        with common.scratch() as inner:
+            c, d = common.cut(spark.range(5)), common.cut(spark.range(6))
+            inner(c)
+        keep(a)
+        assert [os.path.exists(x.cut_path) for x in (a, b, c, d)] == [True, True, True, False]
+    assert [os.path.exists(x.cut_path) for x in (a, b, c)] == [True, False, False]
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    try:
+        common.shared_dir(Elsewhere)
+    except ValueError as e:
+        assert "spark.checkpoint.dir" in str(e)
+    else:
+        raise AssertionError
