@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, HOT_PARTS, attach, cut, discard, only_ids, release, slices
+from .common import HOT_PARTS, attach, cut, discard, fits, lookup, only_ids, packed, release, row_key, scratch, slices
 from .components import components
 from .shingles import shingle_set
 
@@ -155,8 +155,11 @@ def _linking(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
     first, second = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    pairs = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
-    return cut(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(compared, "a bigint, b bigint"))
+    if fits(pairs):
+        met = F.broadcast(pairs).join(first, "a").join(second, "b")
+    else:  # a hub's tokens are copied to as many places as its pairs are spread over
+        met = lookup(cut(lookup(pairs, first, ["a"])), second, ["b"])
+    return cut(met.select("a", "b", "x", "y").mapInArrow(compared, "a bigint, b bigint"))
 
 
 def _sets(raw: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -170,7 +173,7 @@ def _sets(raw: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             found = [shingle_set(t.as_py()).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in found], pa.binary()), pa.array(found, pa.binary())], names=["key", "tokens"])
 
-    return cut(docs.mapInArrow(tokens, "key binary, tokens binary").join(F.broadcast(named) if named.count() <= BROADCAST_ROWS else named, "key").select("node", "tokens"))
+    return cut(docs.mapInArrow(tokens, "key binary, tokens binary").join(F.broadcast(named) if fits(named) else named, "key").select("node", "tokens"))
 
 
 def _differ(other: list[str]):
@@ -194,10 +197,10 @@ def _merge(comp: DataFrame | None, links: DataFrame) -> DataFrame:
         return components(links)
     ends = links
     for c in ("a", "b"):
-        ends = ends.join(comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp")), c, "left").withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c))
+        ends = cut(lookup(ends, comp.select(F.col("node").alias(c), F.col("comp").alias(f"{c}_comp")), [c]).withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c)))
     moved = components(ends.select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
-    known = comp.unionByName(moved.join(comp, "node", "left_anti").select("node", F.col("node").alias("comp")))
-    return cut(known.join(moved.select(F.col("node").alias("comp"), F.col("comp").alias("new")), "comp", "left").select("node", F.coalesce("new", "comp").alias("comp")))
+    known = cut(comp.unionByName(moved.join(comp, "node", "left_anti").select("node", F.col("node").alias("comp"))))
+    return cut(lookup(known, moved.select(F.col("node").alias("comp"), F.col("comp").alias("new")), ["comp"]).select("node", F.coalesce("new", "comp").alias("comp")))
 
 
 def _mixed(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -255,14 +258,24 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Returns one row per row of docs: doc_id, n_shingles, component_id (the smallest id that links lead to, its own
     included; null ids don't count, but link). Texts without words have no shingles and link with nothing; those
-    of fewer than five words have one. Rows that repeat are in one component, as equal sets are. Ids may be null
-    or come twice; other columns are ignored.
+    of fewer than five words have one; texts of any length are read whole. Rows that repeat are in one component, as
+    equal sets are. Ids may be null or come twice; other columns are ignored, whatever their names; an empty table
+    gives an empty one.
     """
-    spark: SparkSession = docs.sparkSession
-    raw = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    with scratch() as keep:
+        rows, sets = _grouped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+        keep(rows, sets)
+    out = attach(rows, sets, ["key"], "__n", max(1, rows.count()))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _grouped(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n, key of each row, and key, component_id, comp, __n (how many rows have it) of each distinct set; both of tables cut here."""
+    spark: SparkSession = raw.sparkSession
     kind = raw.schema["doc_id"].dataType.simpleString()
     described = _describe(raw, kind)
     rows = described.filter("chunk is null").select("doc_id", "n", "key")
+    rows.cut_path = described.cut_path
     full = _nodes(raw, _frequencies(described), rows.count())
     release(spark)
     left, comp = _shared_tokens(full), None
@@ -282,15 +295,33 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ids = nodes.select("node", "key", "min_doc", F.col("copies").alias("__n"))
     if comp is not None:
         ids = ids.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        least = ids.groupBy("comp").agg(F.min("min_doc").alias("component_id"), F.count("*").alias("__c"))
-        ids = attach(ids, cut(least), ["comp"], "__c", max(1, nodes.count())).select("key", "component_id", "__n")
+        least = cut(ids.groupBy("comp").agg(F.min("min_doc").alias("component_id"), F.count("*").alias("__c")))
+        ids = attach(ids, least, ["comp"], "__c", max(1, nodes.count())).select("key", "component_id", "comp", "__n")
     else:
-        ids = ids.select("key", F.col("min_doc").alias("component_id"), "__n")
-    out = attach(rows, cut(ids), ["key"], "__n", max(1, rows.count()))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        ids = ids.select("key", F.col("min_doc").alias("component_id"), F.col("node").alias("comp"), "__n")
+    return rows, cut(ids)
 
 
 def drop_similar(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with one document of each component: that whose id names it. Rows that repeat an id stay together, rows without id stay."""
-    gone = cut(similar_documents(docs).filter("component_id <> doc_id").select("doc_id").distinct())
-    return only_ids(docs, gone, "doc_id", "left_anti")
+    """docs, all columns, with one row of each component of similar_documents: that whose id names it.
+
+    Of rows that share this id, or have none where no row of the component has one, one stays: of different texts
+    that with the least hash, of equal ones any. Texts without words are like nothing and stay. Columns may have any
+    names; an empty table gives an empty one.
+    """
+    with scratch() as keep:
+        named = packed(docs, doc_id=F.col("doc_id"), text=F.col("text"))
+        rows, sets = _grouped(named.select(F.struct("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("k")).alias("doc_id"), "text"))
+        met = attach(rows.filter("key is not null"), sets, ["key"], "__n", max(1, rows.count()))
+        each = cut(met.select("doc_id", "comp").groupBy("comp", "doc_id").agg(F.count("*").alias("times")))
+        stays = cut(each.groupBy("comp").agg(F.min_by(F.struct("doc_id", "times"), F.struct(F.isnull("doc_id.doc_id"), "doc_id")).alias("s"), F.count("*").alias("__n")))
+        judged = attach(each, stays.select("comp", F.col("s.doc_id").alias("kept"), "__n"), ["comp"], "__n", max(1, each.count()))
+        gone = cut(judged.filter("doc_id <> kept").select("doc_id.k.*"))
+        twice = cut(stays.filter("s.times > 1").select("s.doc_id.k.*"))
+        keep(gone, twice)
+    marked = packed(docs, k=row_key(F.col("doc_id"), F.col("text"))).select("row", "k.*")
+    left = only_ids(marked, gone, ["k1", "k2"], "left_anti")
+    if twice.isEmpty():
+        return left.select("row.*")
+    once = only_ids(left, twice, ["k1", "k2"], "left_anti").select("row.*")
+    return once.unionByName(only_ids(left, twice, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row.*"))

@@ -64,7 +64,6 @@ def test_against_brute_force(spark, seed):
 def test_exact_pass_alone_and_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TURNS", 0)
     monkeypatch.setattr(common, "BROADCAST_ROWS", -1)
-    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", -1)
     monkeypatch.setattr(common, "HOT_PARTS", 20)
     data = corpus(3, 140)
     assert sorted(tuple(r) for r in similar_documents(spark.createDataFrame(data, SCHEMA)).collect()) == brute(data)
@@ -94,6 +93,21 @@ def test_drop_similar(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for *_, c in brute(data)})
 
 
+def test_dropping_similar_with_odd_rows_and_names(spark):
+    text, near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen", "ONE two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    long = " ".join(f"w{k}" for k in range(60_000))
+    data = [(None, text, "a"), (4, near, "b"), (4, text, "c"), (9, "other words here in this text", "d"), (9, text, "e"), (None, None, "f"), (11, "", "g"), (11, "", "h")]
+    data += [(None, "no id in this group at all", "i"), (None, "no id in this group at all", "j"), (20, long, "k"), (21, f"{long} more", "l")]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, row string")
+    df = df.selectExpr("*", "1 AS comp", "2 AS key", "3 AS k1", "'x' AS kept")
+    kept = drop_similar(df)
+    assert kept.columns == df.columns
+    names = sorted(r.row for r in kept.collect())
+    assert len({"b", "c"} & set(names)) == 1 and len({"i", "j"} & set(names)) == 1
+    assert [n for n in names if n not in "bcij"] == ["d", "f", "g", "h", "k"]
+    assert drop_similar(df.limit(0)).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(5)
     links = [(k, k + 1) for k in range(0, 40)] + [(100, 100 + k) for k in range(1, 50)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
