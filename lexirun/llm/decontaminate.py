@@ -11,15 +11,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut
+from .common import cut, keep_where, only_ids, packed, row_key
 from .shingles import SIZE, shingles_of, words_of
 
-BITS, BLOCKS = 64, 4
+BITS, BLOCKS = 64, 5
 #: Fingerprints within this many bits are candidates. At weighted similarity 0.8 the mean distance is 9.7 bits, its deviation 2.9.
 RADIUS = 19
 PERCENT = 80
-#: Items that one pass over the documents takes; more items take more passes.
-ITEMS_PER_PASS = 4096
+#: Items, and bytes of their texts, that go to the tasks at a time: an item takes about 12 kB there, and 60 bytes a byte of text.
+#: More items take more turns, over the documents that hold a shingle of any item.
+ITEMS_PER_PASS, BYTES_PER_PASS = 4096, 2 << 20
+#: Bits of the filter that finds these documents: FILTER_BITS for each word of the items, but not more than FILTER_MOST.
+FILTER_BITS, FILTER_MOST, FILTER_CHUNK = 16, 1 << 28, 1 << 19
 #: Windows whose bits are summed at a time.
 STRETCH = 16_384
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -48,34 +51,42 @@ def _near(width: int, radius: int) -> np.ndarray:
 
 
 class MultiIndex:
-    """Finds all stored fingerprints within radius: some of the blocks then differs in at most radius // blocks bits."""
+    """Finds all stored fingerprints within radius: some of the blocks then differs in at most radius // blocks bits.
+
+    A block's table has each stored value with all that are so near to it, so a lookup is one search.
+    """
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS, blocks: int = BLOCKS):
-        self.prints, self.radius, self.blocks, self.width = prints, radius, blocks, BITS // blocks
-        near = _near(self.width, radius // blocks)
+        self.prints, self.radius = prints, radius
+        edges = [BITS * j // blocks for j in range(blocks + 1)]
         self.tables = []
-        for j in range(blocks):
-            keys = (self._block(prints, j)[:, None] ^ near[None, :]).ravel()
-            order = np.argsort(keys, kind="stable")
-            first = np.zeros((1 << self.width) + 1, np.int64)
-            np.cumsum(np.bincount(keys, minlength=1 << self.width), out=first[1:])
-            self.tables.append((first, (order // len(near)).astype(np.int32)))
+        for low, high in zip(edges, edges[1:], strict=False):
+            near = _near(high - low, radius // blocks)
+            entries = (self._block(prints, low, high)[:, None] ^ near[None, :]).ravel()
+            order = np.argsort(entries, kind="stable")
+            keys, first = np.unique(entries[order], return_index=True)
+            self.tables.append((low, high, keys.astype(np.uint16), np.append(first, len(order)).astype(np.int32), (order // len(near)).astype(np.int32)))
 
-    def _block(self, prints: np.ndarray, j: int) -> np.ndarray:
-        return ((prints >> np.uint64(j * self.width)) & np.uint64((1 << self.width) - 1)).astype(np.uint32)
+    @staticmethod
+    def _block(prints: np.ndarray, low: int, high: int) -> np.ndarray:
+        return ((prints >> np.uint64(low)) & np.uint64((1 << (high - low)) - 1)).astype(np.uint32)
 
     def pairs(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (place in prints, place in the index) within the radius, each once."""
-        found = []
-        for j, (first, stored) in enumerate(self.tables):
-            keys = self._block(prints, j)
-            counts = first[keys + 1] - first[keys]
-            left = np.repeat(np.arange(len(prints)), counts)
-            right = stored[np.repeat(first[keys] - np.cumsum(counts) + counts, counts) + np.arange(len(left))]
+        """All (place in prints, place in the index) within the radius, each once, in order."""
+        found = [np.zeros(0, np.int64)]
+        for low, high, keys, first, stored in self.tables:
+            asked = self._block(prints, low, high).astype(np.uint16)
+            place = np.searchsorted(keys, asked)
+            place[place == len(keys)] = 0
+            met = np.flatnonzero(keys[place] == asked) if len(keys) else np.zeros(0, np.int64)
+            start, stop = first[place[met]].astype(np.int64), first[place[met] + 1].astype(np.int64)
+            counts = stop - start
+            left = np.repeat(met, counts)
+            right = stored[np.repeat(start - np.cumsum(counts) + counts, counts) + np.arange(len(left))]
             ok = np.bitwise_count(prints[left] ^ self.prints[right]) <= self.radius
             found.append(left[ok] * len(self.prints) + right[ok])
         both = np.unique(np.concatenate(found))
-        return both // len(self.prints), both % len(self.prints)
+        return both // max(1, len(self.prints)), both % max(1, len(self.prints))
 
 
 @dataclass
@@ -86,7 +97,7 @@ class Items:
     vocabulary: np.ndarray
     owners: list[np.ndarray]  # for each shingle of the vocabulary the items that have it
     filter: np.ndarray
-    index: MultiIndex
+    index: dict[int, tuple[np.ndarray, MultiIndex]]  # by length: the items of that length, and their fingerprints
 
     @staticmethod
     def of(rows: pd.DataFrame) -> Items | None:
@@ -104,7 +115,8 @@ class Items:
         known = np.zeros(1 << 22, bool)
         known[(vocabulary & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
         prints = np.array([fingerprints(s, np.array([0]), len(s))[0] for _, s in texts], np.uint64)
-        return Items([i for i, _ in texts], lengths, counts, vocabulary, owners, known, MultiIndex(prints))
+        index = {int(n): (at, MultiIndex(prints[at])) for n in np.unique(lengths) for at in [np.flatnonzero(lengths == n)]}
+        return Items([i for i, _ in texts], lengths, counts, vocabulary, owners, known, index)
 
 
 def _windows(hits: np.ndarray, length: int, n: int) -> np.ndarray:
@@ -121,7 +133,8 @@ def matches(text: str | None, items: Items) -> list[tuple[int, int, int, int, in
 
     A window is as long as the item, or the whole text if that is shorter. Windows without any shingle of the
     items have similarity 0, so only the others are fingerprinted; those in the radius of an item of their
-    length are compared exactly: as multisets, the sum of smaller counts must be PERCENT of that of larger ones.
+    length are compared exactly: as multisets, the sum of smaller counts must be PERCENT of that of larger ones. Of
+    equally good windows the first is told.
     """
     s = shingles_of(words_of(text))
     if not len(s):
@@ -144,11 +157,11 @@ def matches(text: str | None, items: Items) -> list[tuple[int, int, int, int, in
     for length, near in by_length.items():
         size = min(length, len(s))
         starts = _windows(np.array(near), size, len(s))
-        window, item = items.index.pairs(fingerprints(s, starts, size))
-        begin = starts[window]
+        of_length, index = items.index[length]
         # shared <= hits in the window, and shared >= PERCENT / (100 + PERCENT) of both sizes together
-        ok = (items.lengths[item] == length) & ((seen[begin + size] - seen[begin]) * (100 + PERCENT) >= PERCENT * (size + length))
-        for a, i in zip(begin[ok].tolist(), item[ok].tolist(), strict=True):
+        starts = starts[(seen[starts + size] - seen[starts]) * (100 + PERCENT) >= PERCENT * (size + length)]
+        found = [(part[w], of_length[i]) for k in range(0, len(starts), STRETCH) for part in [starts[k : k + STRETCH]] for w, i in [index.pairs(fingerprints(s, part, size))]]
+        for a, i in ((int(a), int(i)) for begin, item in found for a, i in zip(begin, item, strict=True)):
             known, counts = items.counts[i]
             at = np.searchsorted(known, s[a : a + size])
             at[at == len(known)] = 0
@@ -165,23 +178,77 @@ def matches(text: str | None, items: Items) -> list[tuple[int, int, int, int, in
 SCHEMA = "item_id bigint, similarity double, start bigint, end bigint, windows bigint"
 
 
+def _passes(items: DataFrame) -> int:
+    rows, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    return max(1, -(-rows // ITEMS_PER_PASS), -(-size // BYTES_PER_PASS))
+
+
+def _filter_of(items: DataFrame) -> np.ndarray:
+    """One bit for each place that a shingle of some item has; made by the executors, in chunks, and of a bounded size."""
+    words = items.agg(F.coalesce(F.sum(F.octet_length("text") / 5), F.lit(0.0))).first()[0]
+    size = FILTER_CHUNK
+    while size < min(FILTER_MOST, words * FILTER_BITS):
+        size *= 2
+
+    def marked(batches):
+        bits = np.zeros(size, bool)
+        for b in batches:
+            for t in b.column(0):
+                bits[(shingles_of(words_of(t.as_py())) & np.uint64(size - 1)).astype(np.int64)] = True
+        parts = [(k, np.packbits(bits[a : a + FILTER_CHUNK]).tobytes()) for k, a in enumerate(range(0, size, FILTER_CHUNK)) if bits[a : a + FILTER_CHUNK].any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["chunk", "bits"])
+
+    def merged(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                total[k] = total.get(k, 0) | np.frombuffer(x.as_py(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["chunk", "bits"])
+
+    schema = "chunk int, bits binary"
+    out = np.zeros(size // 8, np.uint8)
+    for k, x in items.select("text").mapInArrow(marked, schema).repartition("chunk").mapInArrow(merged, schema).collect():
+        out[k * FILTER_CHUNK // 8 : (k + 1) * FILTER_CHUNK // 8] = np.frombuffer(bytes(x), np.uint8)
+    return out
+
+
+def _meeting(docs: DataFrame, text_col: str, items: DataFrame) -> DataFrame:
+    """The rows of docs that may share a shingle with some item."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(items))
+
+    def judge():
+        bits = shared.value
+        mask = np.uint64(len(bits) * 8 - 1)
+
+        def meets(text: str) -> bool:
+            at = (shingles_of(words_of(text)) & mask).astype(np.int64)
+            return bool((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).any())
+
+        return meets
+
+    return keep_where(docs, text_col, judge)
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs and item (item_id, text) that a window of its text is like, see matches.
 
     Returns doc_id, item_id, similarity (the best window's, 0.8 at least), start and end of that window in code
-    points of the text, and windows, how many qualified. Null and empty texts and items match nothing; rows that
-    repeat match once each; ids may be null; other columns are ignored. The items, ITEMS_PER_PASS at a time, go
-    to every task; the documents stay where they are.
+    points of the text (of equally good ones the first), and windows, how many qualified. Null and empty texts and
+    items match nothing; texts of any length are read whole; rows that repeat match once each; ids may be null; other
+    columns are ignored, whatever their names; empty tables give an empty one. The items go to every task and the
+    documents stay where they are; where the items are too many to be sent at a time, one scan finds the documents
+    that share a shingle with any, and only these are read again for each part of them.
     """
     raw = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = raw.schema["doc_id"].dataType.simpleString()
     items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text")
-    passes = -(-items.count() // ITEMS_PER_PASS) or 1
+    passes = _passes(items)
+    if passes > 1:
+        items = cut(items)
+        raw = cut(_meeting(raw, "text", items))
     out = None
     for k in range(passes):
-        some = items if passes == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        known = Items.of(some.toPandas())
-        shared = docs.sparkSession.sparkContext.broadcast(known)
+        shared = docs.sparkSession.sparkContext.broadcast(_part(items, k, passes))
 
         def found(batches, shared=shared):
             known = shared.value
@@ -205,8 +272,21 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     return out
 
 
+def _part(items: DataFrame, k: int, passes: int) -> Items | None:
+    some = items if passes == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
+    return Items.of(some.toPandas())
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs, all columns, without the rows of ids in which find_contamination finds an item."""
-    ids = cut(find_contamination(docs, items).select(F.col("doc_id").alias("__id")).distinct())
-    few = ids.count() <= BROADCAST_ROWS * 10
-    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """docs, all columns, without the rows in whose text find_contamination finds an item, each judged by its own text.
+
+    Rows that share an id, or have none, don't share a fate; rows with null and empty texts stay; columns may have any
+    names; an empty table gives an empty one.
+    """
+    items = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text")
+    if _passes(items) == 1:
+        shared = docs.sparkSession.sparkContext.broadcast(_part(items, 0, 1))
+        return keep_where(docs, "text", lambda: lambda text: not (shared.value and matches(text, shared.value)))
+    key = row_key(F.col("doc_id"), F.col("text"))
+    gone = cut(find_contamination(packed(docs, doc_id=key, text=F.col("text")), items).select("doc_id.*").distinct())
+    return only_ids(packed(docs, k=key).select("row", "k.*"), gone, ["k1", "k2"], "left_anti").select("row.*")

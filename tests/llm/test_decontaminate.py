@@ -97,3 +97,44 @@ def test_shingles():
     assert len(shingles_of([])) == 0 and len(shingles_of([b"a", b"b"])) == 1
     assert len(shingle_set("a b c d e " * 50)) == 5
     assert shingles_of([b"a", b"b"])[0] != shingles_of([b"a", b"b", b"c"])[0]
+
+
+def test_many_items_take_one_scan_of_all_documents(spark, monkeypatch):
+    docs, items = made(5)
+    docs = [*docs, *[(1000 + k, f"nothing in common {k} at all here", 1, 1.0) for k in range(200)]]
+    docs, items = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id bigint, text string")
+    whole = sorted(map(str, find_contamination(docs, items).collect()))
+    monkeypatch.setattr(D, "BYTES_PER_PASS", 500)
+    assert D._passes(items) > 5
+    assert sorted(map(str, find_contamination(docs, items).collect())) == whole
+    assert 0 < D._meeting(docs, "text", items).count() < docs.count() - 200
+
+
+def test_dropping_by_row(spark, monkeypatch):
+    item = " ".join(f"w{k}" for k in range(30))
+    data = [(None, item, 1, "a"), (None, "clean text of some words here", 2, "b"), (4, f"x y {item}", 3, "c"), (4, "clean as well it is so far", 4, "d"), (5, None, 5, "e"), (6, "", 6, "f")]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, k1 int, row string")
+    items = spark.createDataFrame([(1, item), (2, "other words that no document has at all")], "item_id int, text string")
+    for limit in (4096, 1):
+        monkeypatch.setattr(D, "ITEMS_PER_PASS", limit)
+        left = drop_contaminated(docs, items)
+        assert left.columns == docs.columns and sorted(r.row for r in left.collect()) == ["b", "d", "e", "f"]
+        assert drop_contaminated(docs.limit(0), items).count() == 0 and drop_contaminated(docs, items.limit(0)).count() == 6
+
+
+def test_very_long_texts_and_ties(spark):
+    rng = random.Random(7)
+    item = [f"w{k}" for k in range(25)]
+    noise = [f"n{rng.randrange(10**6)}" for _ in range(150_000)]
+    text = " ".join([*noise[:100], *item, *noise[100:], *item, *noise[:50]])
+    found = find_contamination(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), spark.createDataFrame([(9, " ".join(item))], "item_id bigint, text string")).collect()
+    assert len(found) == 1 and found[0].similarity == 1.0 and text[found[0].start : found[0].end] == " ".join(item)
+    assert found[0].start == len(" ".join(noise[:100])) + 1 and found[0].windows >= 2  # of two as good, the first
+
+
+def test_index_stays_small():
+    prints = np.random.default_rng(3).integers(0, 1 << 63, 1000, dtype=np.uint64)
+    tables = MultiIndex(prints).tables
+    assert sum(x.nbytes for t in tables for x in t[2:]) < 12_000 * len(prints)
+    left, right = MultiIndex(prints[:0]).pairs(prints)
+    assert len(left) == len(right) == 0
