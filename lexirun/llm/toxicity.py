@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, slices
+from .common import keep_where, slices
 from .shingles import distinct, hashes_of
 
 #: Labelled rows that the models are fitted on at most: those whose ids hash lowest. This bounds what the driver holds.
@@ -171,8 +171,8 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_c
     """One row per row of docs: doc_id, p_<category> for each of CHAIN, and toxic (p_toxic of THRESHOLD at least).
 
     The chain is fitted on the labelled rows of docs, see train. A null text is empty. Without labels of both
-    kinds a category's probability is one small or smoothed share for all. Ids may be null or come twice; other
-    columns are ignored.
+    kinds a category's probability is one small or smoothed share for all. Texts of any length are read whole. Ids may
+    be null or come twice; other columns are ignored, whatever their names; an empty table gives an empty one.
     """
     chain = docs.sparkSession.sparkContext.broadcast(train(docs, labels, train_rows, id_col, text_col))
     names = [f"p_{c}" for c in CHAIN]
@@ -187,7 +187,10 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, id_c
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs, all columns, without the rows of ids that score finds toxic."""
-    ids = cut(score(docs, labels).filter("toxic").select(F.col("doc_id").alias("__id")).distinct())
-    few = ids.count() <= BROADCAST_ROWS * 10
-    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    """docs, all columns, without the rows that score finds toxic, each judged by its own text.
+
+    Rows that share an id, or have none, don't share a fate; a null text is empty and judged like any other; columns
+    may have any names; an empty table gives an empty one.
+    """
+    chain = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    return keep_where(docs, "text", lambda: lambda text: predict_chain(chain.value, [features(text)])[0, -1] < THRESHOLD)

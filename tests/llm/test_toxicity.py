@@ -59,3 +59,38 @@ def test_toxic_documents_go(spark):
 def test_query(spark, sf_dir):
     found = op10_classifier_chain(spark, sf_dir).collect()
     assert len(found) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_dropping_by_row(spark):
+    kind, bad = "kind words for all", "idiotic words you idiot"
+    docs = [(k, f"word{k % 7} plain text {bad if k % 5 == 0 else kind}", 1, "x") for k in range(300)]
+    odd = [(None, f"word1 plain text {bad}", 2, "a"), (None, f"word1 plain text {kind}", 2, "b"), (3, f"word2 plain text {bad}", 2, "c"), (4, None, 2, "d"), (6, "", 2, "e"), (7, f"{kind} " * 40_000, 2, "f")]
+    labels = spark.createDataFrame([(k, 1, int(k % 5 == 0)) for k in range(0, 300, 2) if k not in (3, 4, 6, 7)], "doc_id bigint, quality int, toxic int")
+    df = spark.createDataFrame(docs + odd, "doc_id bigint, text string, __id int, row string")
+    left = T.drop_toxic(df, labels)
+    assert left.columns == df.columns
+    apart = spark.createDataFrame(docs + [(1000 + k, *r[1:]) for k, r in enumerate(odd)], df.schema)
+    clean = {odd[r.doc_id - 1000][3] for r in T.score(apart, labels).collect() if r.doc_id >= 1000 and not r.toxic}
+    assert {"b"} <= clean and not clean & {"a", "c"}
+    assert {r.row for r in left.collect() if r.row != "x"} == clean
+    assert T.drop_toxic(df.limit(0), labels).count() == 0
+
+
+def test_query_scores(spark, sf_dir):
+    """The query's own columns beside a chain fitted and applied here, row by row."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    labels = {r.doc_id: (1.0 - r.quality, float(r.toxic)) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    known = sorted(set(labels) & set(docs))
+    folds = T.pd.util.hash_array(np.array(known), categorize=False) % T.FOLDS
+    chain = T.fit_chain([T.features(docs[d]) for d in known], np.array([labels[d] for d in known]), folds.astype(int))
+    found = op10_classifier_chain(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in found) == sorted(docs) and len(known) <= T.TRAIN_ROWS
+    for r in found:
+        words, numbers = T.features(docs[r.doc_id])
+        earlier = np.zeros((1, 0))
+        for model in chain:
+            z = model.weights[0] + model.weights[1 : 1 + len(model.words)] @ np.isin(model.words, words)
+            z += model.weights[1 + len(model.words) :] @ ((np.concatenate([numbers, earlier[0]]) - model.mean) / model.scale)
+            earlier = np.hstack([earlier, [[1 / (1 + np.exp(-z))]]])
+        assert (r.p_low_quality, r.p_toxic) == pytest.approx(tuple(earlier[0]), abs=1e-6)
+        assert r.toxic == (r.p_toxic >= T.THRESHOLD)
