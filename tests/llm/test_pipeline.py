@@ -1,9 +1,11 @@
 import hashlib
+import os
 
 import pytest
 import sentencepiece
 
 import corpus_pipeline as P
+from lexirun.llm.common import shared_dir
 from lexirun.llm.decontaminate import find_contamination
 from lexirun.llm.queries import QUERIES, tokenizer_path
 from lexirun.llm.toxicity import score
@@ -44,8 +46,10 @@ def test_stages_do_what_their_operators_decide(spark, sf_dir, docs, tmp_path):
     for r in coded:
         assert list(r.ids) == library.encode(rows[4][r.doc_id]) and r.n_tokens == len(r.ids)
         assert r.decoded_sha256 == hashlib.sha256(library.decode(list(r.ids)).encode()).hexdigest()
+    before = set(os.listdir(shared_dir(spark)))
     whole = {r.doc_id: r.ids_sha256 for r in P.run(spark, sf_dir).collect()}
     assert whole == {r.doc_id: r.ids_sha256 for r in coded}
+    assert len(set(os.listdir(shared_dir(spark))) - before) == 1  # what the last stage reads
 
 
 def test_stages_stand_odd_rows(spark, sf_dir):
