@@ -54,10 +54,6 @@ def op6_line_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_spans(table(spark, sf_dir, "documents"))
 
 
-def op6_line_hashing_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_passages(table(spark, sf_dir, "documents"))
-
-
 def op7_progressive_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), with_digest=True)
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("content").alias("text_sha256"))
@@ -80,7 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_sampled_splitters, op2_page_differencing, op3_anchor_expansion, op4_token_group_matrix, op5_simhash_windows,
         op6_line_hashing, op7_progressive_refinement, op8_offset_preserving, op9_count_only_viterbi, op10_classifier_chain,
-        op6_line_hashing_passages,
     )
 }
 
