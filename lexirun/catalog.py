@@ -63,20 +63,36 @@ def name_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.runs(name_suffixes(spark, sf_dir))
+    return X.sorted_runs(names(spark, sf_dir))
+
+
+def name_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.string_ranges(_table(spark, sf_dir, "part"), "p_size", "p_partkey", "p_name")
 
 
 def _sizes(found: DataFrame) -> DataFrame:
     return found.groupBy("text_id").agg(F.sum("len").alias("n"))
 
 
-def _places(found: DataFrame, *at: str) -> DataFrame:
-    """text_id, i: for each text the positions that the expressions over n give."""
-    return _sizes(found).select("text_id", F.explode(F.array_distinct(F.array(*[F.expr(f"cast({a} as bigint)") for a in at]))).alias("i"))
+def _places(found: DataFrame, name: str = "i", beyond: int = 0) -> DataFrame:
+    """text_id, name: all positions of each text, and so many beyond its end."""
+    return _sizes(found).select("text_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1 + beyond)).alias(name))
+
+
+def _symbol_places(found: DataFrame) -> DataFrame:
+    """text_id, i, sym: each position with its symbol and with the symbol before it, and both ends with all symbols."""
+    every = R.expand(found)
+    symbols = found.select("text_id", "sym").distinct()
+    ends = _sizes(found).select("text_id", F.explode(F.array(F.lit(0).cast("bigint"), "n")).alias("i")).join(symbols, "text_id")
+    return every.unionByName(every.withColumn("i", F.col("i") + 1)).unionByName(ends).distinct()
 
 
-def _symbol_places(found: DataFrame, *at: str) -> DataFrame:
-    return _places(found, *at).join(found.select("text_id", "sym").distinct(), "text_id")
+def _symbol_ranges(found: DataFrame) -> DataFrame:
+    """text_id, i, j, sym: from each run's head into the run after the next, with its symbol, and the middle of each text with all symbols."""
+    sizes, symbols = _sizes(found), found.select("text_id", "sym").distinct()
+    middle = sizes.join(symbols, "text_id").select("text_id", F.expr("n div 4").alias("i"), F.expr("3 * n div 4").alias("j"), "sym")
+    reach = F.least(F.col("head_i") + 2 * F.col("len") + 1, F.col("n") - 1)
+    return found.join(sizes, "text_id").select("text_id", F.col("head_i").alias("i"), reach.alias("j"), "sym").unionByName(middle).distinct()
 
 
 @query
@@ -102,8 +118,8 @@ def count_statistics(spark, sf_dir):
 
 @query
 def qgram_count_fixed_len(spark, sf_dir):
-    first = passages(spark, sf_dir).filter(F.octet_length("pattern") >= FIXED).select("pat_id", F.expr(f"substring(pattern, 1, {FIXED})").alias("pattern"))
-    return U.count(documents(spark, sf_dir), first)
+    asked = P.windows(passages(spark, sf_dir), FIXED)
+    return U.count(documents(spark, sf_dir), asked).join(asked, "pat_id").select(F.hex("pattern").alias("pattern"), "n_occ")
 
 
 @query
@@ -155,7 +171,7 @@ def bwt_part_names(spark, sf_dir):
 
 @query
 def rle_runs_part_names(spark, sf_dir):
-    return name_runs(spark, sf_dir).select("text_id", "run_id", "sym", "head_i", "len", "rank_before")
+    return R.runs(name_suffixes(spark, sf_dir)).select("text_id", "run_id", "sym", "head_i", "len", "rank_before")
 
 
 @query
@@ -181,26 +197,25 @@ def c_table_part_names(spark, sf_dir):
 @query
 def access_points(spark, sf_dir):
     found = name_runs(spark, sf_dir)
-    return Q.access(found, _places(found, "0", "n div 2", "n - 1", "n"))
+    return Q.access(found, _places(found, beyond=1))
 
 
 @query
 def rank_points(spark, sf_dir):
     found = name_runs(spark, sf_dir)
-    return Q.rank(found, _symbol_places(found, "0", "n div 3", "n div 2", "n"))
+    return Q.rank(found, _symbol_places(found))
 
 
 @query
 def range_rank_points(spark, sf_dir):
     found = name_runs(spark, sf_dir)
-    ends = _sizes(found).join(found.select("text_id", "sym").distinct(), "text_id")
-    return Q.range_rank(found, ends.select("text_id", "sym", F.expr("n div 4").alias("i"), F.expr("3 * n div 4").alias("j")))
+    return Q.range_rank(found, _symbol_ranges(found))
 
 
 @query
 def select_points(spark, sf_dir):
     found = name_runs(spark, sf_dir)
-    k = F.explode(F.array_distinct(F.array(F.lit(0).cast("bigint"), F.expr("freq div 2"), F.expr("freq - 1"), F.col("freq")))).alias("k")
+    k = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("freq"))).alias("k")
     return Q.select(found, R.c_table(found).select("text_id", "sym", k))
 
 
@@ -230,20 +245,19 @@ def psi_function(spark, sf_dir):
 @query
 def successor_run_head(spark, sf_dir):
     found = name_runs(spark, sf_dir)
-    return Q.successor_head(found, _symbol_places(found, "0", "n div 2", "n - 1"))
+    return Q.successor_head(found, _symbol_places(found))
 
 
 @query
 def circular_predecessor(spark, sf_dir):
     found = name_runs(spark, sf_dir)
-    probes = _places(found, "0", "n div 2", "n - 1").withColumnRenamed("i", "pos")
-    return Q.predecessor_circular(found, probes, "head_sa", "pos")
+    return Q.predecessor_circular(found, _places(found, "pos"), "head_sa", "pos")
 
 
 @query
 def soft_successor(spark, sf_dir):
     found = name_runs(spark, sf_dir)
-    return Q.successor_soft(found, _places(found, "0", "n div 2", "n - 1").withColumnRenamed("i", "pos"), "tail_sa", "pos")
+    return Q.successor_soft(found, _places(found, "pos"), "tail_sa", "pos")
 
 
 @query
@@ -254,8 +268,7 @@ def head_gaps(spark, sf_dir):
 @query
 def lf_range(spark, sf_dir):
     found = name_runs(spark, sf_dir)
-    ends = _sizes(found).join(found.select("text_id", "sym").distinct(), "text_id").select("text_id", "sym", F.expr("n div 4").alias("i"), F.expr("n div 2").alias("j"))
-    return Q.lf_range(found, R.c_table(found), ends)
+    return Q.lf_range(found, R.c_table(found), _symbol_ranges(found))
 
 
 @query
@@ -265,7 +278,7 @@ def random_positions(spark, sf_dir):
 
 @query
 def reserved_symbols(spark, sf_dir):
-    return C.reserved_symbols(documents(spark, sf_dir)).select("text_id")
+    return C.reserved_symbols(documents(spark, sf_dir), (C.TERMINATOR, NEWLINE)).select("text_id")
 
 
 @query
@@ -280,21 +293,18 @@ def phi_backward(spark, sf_dir):
 
 @query
 def sa_interval_count(spark, sf_dir):
-    corpus = names(spark, sf_dir)
-    return U.intervals(X.suffixes(corpus), corpus, name_patterns(spark, sf_dir)).select("pat_id", "text_id", "l", "r", "n_occ")
+    return U.intervals(names(spark, sf_dir), name_patterns(spark, sf_dir)).select("pat_id", "text_id", "l", "r", "n_occ")
 
 
 @query
 def toehold(spark, sf_dir):
-    corpus = names(spark, sf_dir)
-    return U.intervals(X.suffixes(corpus), corpus, name_patterns(spark, sf_dir)).select("pat_id", "text_id", "l", "first_pos")
+    return U.intervals(names(spark, sf_dir), name_patterns(spark, sf_dir)).select("pat_id", "text_id", "l", "first_pos")
 
 
 @query
 def locate_sa_order(spark, sf_dir):
     corpus = names(spark, sf_dir)
-    rows = X.suffixes(corpus)
-    return U.locate_ordered(rows, U.intervals(rows, corpus, name_patterns(spark, sf_dir)))
+    return U.locate_ordered(X.suffixes(corpus), U.intervals(corpus, name_patterns(spark, sf_dir)))
 
 
 @query
@@ -315,7 +325,7 @@ def locate_via_phi(spark, sf_dir):
 @query
 def decode_suffix_array(spark, sf_dir):
     index = build_index(names(spark, sf_dir), "toehold", STEP)
-    return U.decode(index.runs, _places(index.runs, "0", "n div 3", "n div 2", "n - 1"))
+    return U.decode(index.runs, _places(index.runs))
 
 
 @query
@@ -325,8 +335,7 @@ def index_metadata(spark, sf_dir):
 
 @query
 def qgram_intervals_k3(spark, sf_dir):
-    corpus = names(spark, sf_dir)
-    return X.prefix_intervals(X.suffixes(corpus), corpus, 3)
+    return X.prefix_intervals(names(spark, sf_dir), 3)
 
 
 @query
@@ -376,4 +385,93 @@ def price_extremes(spark, sf_dir):
 
 @query
 def document_index_stats(spark, sf_dir):
-    return R.statistics(R.runs(X.suffixes(documents(spark, sf_dir))))
+    return R.statistics(X.sorted_runs(documents(spark, sf_dir)))
+
+
+@query
+def locate_by_samples(spark, sf_dir):
+    return build_index(names(spark, sf_dir), "csa", STEP).locate(name_patterns(spark, sf_dir), "samples")
+
+
+@query
+def locate_all_samples(spark, sf_dir):
+    return build_index(names(spark, sf_dir), "rindex").locate(name_patterns(spark, sf_dir), "phi")
+
+
+@query
+def locate_downwards(spark, sf_dir):
+    return build_index(names(spark, sf_dir), "rindex").locate(name_patterns(spark, sf_dir), "down")
+
+
+@query
+def count_with_tail(spark, sf_dir):
+    return build_index(names(spark, sf_dir), "rindex").count_with_tail(name_patterns(spark, sf_dir))
+
+
+@query
+def locate_in_strings(spark, sf_dir):
+    found = build_index(names(spark, sf_dir), "csa", STEP).locate(name_patterns(spark, sf_dir))
+    return U.in_strings(found.select("pat_id", "text_id", "pos"), name_ranges(spark, sf_dir)).select("pat_id", "string_id", "offset")
+
+
+@query
+def run_of_position(spark, sf_dir):
+    found = name_runs(spark, sf_dir)
+    return Q.run_of_position(found, _places(found, beyond=1))
+
+
+@query
+def run_range(spark, sf_dir):
+    found = name_runs(spark, sf_dir)
+    probes = found.select("text_id", "run_id").unionByName(found.groupBy("text_id").agg(F.count("*").alias("run_id")))
+    return Q.run_range(found, probes)
+
+
+@query
+def break_range(spark, sf_dir):
+    found = name_runs(spark, sf_dir)
+    return Q.break_range(found, _symbol_ranges(found), 64)
+
+
+@query
+def closest_run_break(spark, sf_dir):
+    found = name_runs(spark, sf_dir)
+    return Q.closest_break(found, _symbol_ranges(found))
+
+
+@query
+def suffix_array_from_transform(spark, sf_dir):
+    return X.from_runs(name_runs(spark, sf_dir)).select("text_id", "i", "pos")
+
+
+@query
+def run_samples_from_transform(spark, sf_dir):
+    return X.sampled_runs(name_runs(spark, sf_dir)).select("text_id", "run_id", "head_sa", "tail_sa", "rank_before")
+
+
+@query
+def required_subsample(spark, sf_dir):
+    found = name_runs(spark, sf_dir)
+    return S.head_samples(found, STEP, found.filter("len >= 4"), backward=True)
+
+
+@query
+def phi_steps(spark, sf_dir):
+    found = name_runs(spark, sf_dir)
+    blocks = S.phi_blocks(found, STEP)
+    return U.follow(blocks, _places(found, "pos").withColumn("steps", F.lit(3)))
+
+
+@query
+def psi_runs(spark, sf_dir):
+    return X.psi_runs(name_suffixes(spark, sf_dir))
+
+
+@query
+def psi_lookup(spark, sf_dir):
+    return X.psi_lookup(X.psi_runs(name_suffixes(spark, sf_dir)), _places(name_runs(spark, sf_dir)))
+
+
+@query
+def psi_range(spark, sf_dir):
+    return X.psi_range(X.psi_runs(name_suffixes(spark, sf_dir)), _symbol_ranges(name_runs(spark, sf_dir)))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The terminator is below every symbol of a text; the separator stands between the strings of a collection.
 TERMINATOR, SEPARATOR = 0, 1
@@ -26,15 +30,26 @@ def collections(df: DataFrame, id_col: str, order_col: str, text_col: str) -> Da
     return df.groupBy(F.col(id_col).cast("bigint").alias("text_id")).agg(F.encode(F.array_join(strings, chr(SEPARATOR)), "utf-8").alias("bytes"))
 
 
-def reserved_symbols(corpus: DataFrame) -> DataFrame:
-    """The texts that hold the terminator, which no text may."""
-    return corpus.filter(F.expr(f"position(X'{TERMINATOR:02X}', bytes) > 0"))
+def string_ranges(df: DataFrame, id_col: str, order_col: str, text_col: str) -> DataFrame:
+    """Where the strings of collections lie: text_id, string_id (order_col), start, end (exclusive, without separator)."""
+    w = Window.partitionBy("text_id").orderBy("string_id").rowsBetween(Window.unboundedPreceding, -1)
+    each = df.select(F.col(id_col).cast("bigint").alias("text_id"), F.col(order_col).cast("bigint").alias("string_id"), F.octet_length(text_col).cast("bigint").alias("size")).filter("size is not null")
+    start = F.coalesce(F.sum(F.col("size") + 1).over(w), F.lit(0))
+    return each.select("text_id", "string_id", start.alias("start"), (start + F.col("size")).alias("end"))
+
+
+def _holds(symbol: int) -> Column:
+    return F.expr(f"position(X'{symbol:02X}', bytes) > 0")
+
+
+def reserved_symbols(corpus: DataFrame, symbols: tuple[int, ...] = (TERMINATOR,)) -> DataFrame:
+    """The texts that hold one of symbols: the terminator, which no text may, or others that are to stand between texts."""
+    return corpus.filter(reduce(or_, map(_holds, symbols)))
 
 
 def checked(corpus: DataFrame) -> DataFrame:
     """corpus, of which a text with the terminator in it raises an error when it is read."""
-    bad = F.expr(f"position(X'{TERMINATOR:02X}', bytes) > 0")
-    return corpus.withColumn("bytes", F.when(bad, F.raise_error(F.concat(F.lit("text holds the terminator: "), F.col("text_id").cast("string"))).cast("binary")).otherwise(F.col("bytes")))
+    return corpus.withColumn("bytes", F.when(_holds(TERMINATOR), F.raise_error(F.concat(F.lit("text holds the terminator: "), F.col("text_id").cast("string"))).cast("binary")).otherwise(F.col("bytes")))
 
 
 def symbol_at(data: Column, pos: Column) -> Column:

@@ -20,21 +20,19 @@ def access(found: DataFrame, probes: DataFrame) -> DataFrame:
     return met.select(*probes.columns, F.when(inside, F.col("found.sym")).alias("sym"))
 
 
-def rank(found: DataFrame, probes: DataFrame) -> DataFrame:
-    """probes (text_id, i, sym) with rank, and is_head: no run of sym reaches from before i to i."""
-    met = asof(probes, found.select("text_id", "sym", "head_i", "len", "rank_before"), ["text_id", "sym"], "i", "head_i", inclusive=False)
+def rank(found: DataFrame, probes: DataFrame, at: str = "i", name: str = "rank", head: str = "is_head") -> DataFrame:
+    """probes (text_id, at, sym) with name, the rank, and head: no run of sym reaches from before at to at."""
+    met = asof(probes, found.select("text_id", "sym", "head_i", "len", "rank_before"), ["text_id", "sym"], at, "head_i", inclusive=False)
     f = F.col("found")
-    value = F.coalesce(f["rank_before"] + F.least(F.col("i") - f["head_i"], f["len"]), F.lit(0))
-    inside = F.coalesce(F.col("i") < f["head_i"] + f["len"], F.lit(False))
-    return met.select(*probes.columns, value.alias("rank"), (~inside).alias("is_head"))
+    value = F.coalesce(f["rank_before"] + F.least(F.col(at) - f["head_i"], f["len"]), F.lit(0))
+    inside = F.coalesce(F.col(at) < f["head_i"] + f["len"], F.lit(False))
+    return met.select(*probes.columns, value.alias(name), (~inside).alias(head))
 
 
 def range_rank(found: DataFrame, probes: DataFrame) -> DataFrame:
-    """probes (text_id, i, j, sym) with rank_i, rank_j and i_is_head; both ends are looked up in one pass."""
-    ends = F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("i").alias("at")), F.struct(F.lit(1).alias("end"), F.col("j").alias("at"))))
-    both = rank(found, probes.select("*", ends.alias("e")).select("text_id", "sym", F.col("i").alias("__i"), F.col("j").alias("__j"), "e.end", F.col("e.at").alias("i")))
-    pick = lambda value, end: F.max(F.when(F.col("end") == end, F.col(value)))
-    return both.groupBy("text_id", "sym", F.col("__i").alias("i"), F.col("__j").alias("j")).agg(pick("rank", 0).alias("rank_i"), pick("rank", 1).alias("rank_j"), pick("is_head", 0).alias("i_is_head"))
+    """probes (text_id, i, j, sym and any others, rows may repeat) with rank_i, rank_j and i_is_head."""
+    both = rank(found, rank(found, probes, "i", "rank_i", "i_is_head"), "j", "rank_j", "__head")
+    return both.select(*probes.columns, "rank_i", "rank_j", "i_is_head")
 
 
 def select(found: DataFrame, probes: DataFrame) -> DataFrame:
@@ -75,11 +73,51 @@ def successor_head(found: DataFrame, probes: DataFrame) -> DataFrame:
 
 
 def lf_range(found: DataFrame, c_table: DataFrame, probes: DataFrame) -> DataFrame:
-    """probes (text_id, i, j, sym) with l, r: the interval of what begins with sym and goes on as in [i, j]; null if empty."""
-    ends = range_rank(found, probes.select("text_id", "sym", "i", (F.col("j") + 1).alias("j")))
-    named = ends.join(c_table.select("text_id", "sym", "c_lo"), ["text_id", "sym"], "left")
+    """probes (text_id, i, j, sym and any others) with l, r: the interval of what begins with sym and goes on as in [i, j]; null if empty."""
+    ends = range_rank(found, probes.withColumn("__j", F.col("j")).withColumn("j", F.col("j") + 1))
+    named = ends.join(c_table.select("text_id", "sym", "c_lo"), ["text_id", "sym"], "left").withColumn("j", F.col("__j"))
     some = F.col("rank_j") > F.col("rank_i")
-    return named.select("text_id", "sym", "i", (F.col("j") - 1).alias("j"), F.when(some, F.col("c_lo") + F.col("rank_i")).alias("l"), F.when(some, F.col("c_lo") + F.col("rank_j") - 1).alias("r"))
+    return named.select(*probes.columns, F.when(some, F.col("c_lo") + F.col("rank_i")).alias("l"), F.when(some, F.col("c_lo") + F.col("rank_j") - 1).alias("r"))
+
+
+def run_of_position(found: DataFrame, probes: DataFrame) -> DataFrame:
+    """probes (text_id, i) with run_id, offset in that run, is_head, is_tail; null beyond the end."""
+    met = asof(probes, found.select("text_id", "head_i", "len", "run_id"), ["text_id"], "i", "head_i")
+    f, offset = F.col("found"), F.col("i") - F.col("found.head_i")
+    here = lambda x: F.when(offset < f["len"], x)
+    return met.select(*probes.columns, here(f["run_id"]).alias("run_id"), here(offset).alias("offset"), here(offset == 0).alias("is_head"), here(offset == f["len"] - 1).alias("is_tail"))
+
+
+def run_range(found: DataFrame, probes: DataFrame) -> DataFrame:
+    """probes (text_id, run_id) with sym, l, r: the run's symbol and its first and last position; null if there is no such run."""
+    ends = found.select("text_id", "run_id", "sym", F.col("head_i").alias("l"), (F.col("head_i") + F.col("len") - 1).alias("r"))
+    return probes.join(ends, ["text_id", "run_id"], "left").select(*probes.columns, "sym", "l", "r")
+
+
+def break_range(found: DataFrame, probes: DataFrame, size: int = 1024) -> DataFrame:
+    """probes (text_id, i, j, sym), each with the largest intervals l, r within [i, j] that hold sym only; none: no row.
+
+    Runs and probes meet by the blocks of size positions that they touch; a pair meets once, in the block where its
+    later beginning lies.
+    """
+    touched = lambda a, b: F.explode(F.sequence(F.floor(a / size), F.floor(b / size))).alias("__block")
+    ends = found.select("text_id", "sym", F.col("head_i").alias("__l"), (F.col("head_i") + F.col("len") - 1).alias("__r"))
+    met = probes.filter("i <= j").select("*", touched(F.col("i"), F.col("j"))).join(ends.select("*", touched(F.col("__l"), F.col("__r"))), ["text_id", "sym", "__block"])
+    l, r = F.greatest("i", "__l"), F.least("j", "__r")
+    return met.filter((l <= r) & (F.floor(l / size) == F.col("__block"))).select(*probes.columns, l.alias("l"), r.alias("r"))
+
+
+def closest_break(found: DataFrame, probes: DataFrame) -> DataFrame:
+    """probes (text_id, i, j, sym) with closest: the position of sym in [i, j] closest to i that has another symbol beside it within; null if there is none.
+
+    That is the end of the run that i lies in, if sym's, and otherwise the first sym after i.
+    """
+    rows = found.select("text_id", "sym", "head_i", "len")
+    f = F.col("found")
+    inside = asof(probes, rows, ["text_id", "sym"], "i", "head_i").select(*probes.columns, F.when(F.col("i") < f["head_i"] + f["len"], f["head_i"] + f["len"] - 1).alias("__end"))
+    met = asof(inside, rows, ["text_id", "sym"], "i", "head_i", forward=True)
+    at = F.when(F.col("__end").isNotNull(), F.when(F.col("__end") < F.col("j"), F.col("__end"))).otherwise(F.when(f["head_i"] <= F.col("j"), f["head_i"]))
+    return met.select(*probes.columns, at.alias("closest"))
 
 
 def successor_soft(found: DataFrame, probes: DataFrame, key: str, at: str) -> DataFrame:

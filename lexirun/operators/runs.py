@@ -26,6 +26,11 @@ def runs(suffixes: DataFrame) -> DataFrame:
     fresh = F.coalesce((F.col("sym") != F.lag("sym").over(w)).cast("int"), F.lit(0))
     marked = suffixes.withColumn("__new", fresh).withColumn("run_id", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
     found = marked.groupBy("text_id", "run_id").agg(F.first("sym").alias("sym"), F.min("i").alias("head_i"), F.count("*").alias("len"), F.min_by("pos", "i").alias("head_sa"), F.max_by("pos", "i").alias("tail_sa"))
+    return with_ranks(found)
+
+
+def with_ranks(found: DataFrame) -> DataFrame:
+    """Runs (text_id, sym, head_i, len and others) with rank_before."""
     ahead = Window.partitionBy("text_id", "sym").orderBy("head_i").rowsBetween(Window.unboundedPreceding, -1)
     return found.withColumn("rank_before", F.coalesce(F.sum("len").over(ahead), F.lit(0)))
 

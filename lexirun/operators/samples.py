@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Collection, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,20 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def kept_heads(heads: list[int], step: int) -> list[int]:
-    """Of the heads' text positions, sorted, those that keep a sample so that none is further than step from the next."""
-    if not heads:
-        return []
-    kept, last, k = [], heads[0], 1
-    while k + 1 < len(heads):
-        if heads[k + 1] - last > step:
-            kept.append(last)
-            last = heads[k]
-        k += 1
-    if k < len(heads):
-        kept.append(last)
-        last = heads[k]
-    return [*kept, last]
+def spaced(values: list[int], step: int, required: Collection[int] = (), backward: bool = False) -> list[int]:
+    """Of values, rising, those that stay when gaps up to step are enough.
+
+    The first and the last stay. After one that stays, the next to stay is the last one within step, the very next
+    value if there is none within, or a required value if that comes earlier. backward: the same from the other end.
+    """
+    if backward:
+        return [-x for x in reversed(spaced([-x for x in reversed(values)], step, {-x for x in required}))]
+    needed = [k for k, x in enumerate(values) if x in required]
+    kept, k = list(values[:1]), 0
+    while k + 1 < len(values):
+        reach = max(bisect_right(values, values[k] + step) - 1, k + 1)
+        stop = bisect_right(needed, k)
+        k = min(reach, needed[stop]) if stop < len(needed) else reach
+        kept.append(values[k])
+    return kept
 
 
 def blocks_of(pairs: list[tuple[int, int]], sampled: set[int], size: int, step: int) -> Iterator[tuple[int, int, int, int]]:
@@ -47,14 +50,20 @@ def blocks_of(pairs: list[tuple[int, int]], sampled: set[int], size: int, step:
             begin += 1
 
 
-def head_samples(runs: DataFrame, step: int) -> DataFrame:
-    """text_id, head_sa of the run heads that keep their sample. The rule is greedy along the text, so a text is one group."""
+def head_samples(runs: DataFrame, step: int, required: DataFrame | None = None, backward: bool = False) -> DataFrame:
+    """text_id, head_sa of the run heads that keep their sample, see spaced. The rule is greedy along the text, so a text is one group.
+
+    required: text_id, head_sa of heads that keep theirs anyway.
+    """
 
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        kept = kept_heads(sorted(group["head_sa"]), step)
-        return pd.DataFrame({"text_id": group["text_id"].iloc[0], "head_sa": kept})
+    def pick(group: pd.DataFrame, needed: pd.DataFrame | None = None) -> pd.DataFrame:
+        kept = spaced(sorted(group["head_sa"]), step, () if needed is None else set(needed["head_sa"]), backward)
+        return pd.DataFrame({"text_id": group["text_id"].iloc[0] if len(group) else None, "head_sa": kept}, columns=["text_id", "head_sa"])
 
-    return runs.select("text_id", "head_sa").groupBy("text_id").applyInPandas(pick, "text_id bigint, head_sa bigint")
+    rows = runs.select("text_id", "head_sa").groupBy("text_id")
+    if required is None:
+        return rows.applyInPandas(lambda group: pick(group), "text_id bigint, head_sa bigint")
+    return rows.cogroup(required.select("text_id", "head_sa").groupBy("text_id")).applyInPandas(pick, "text_id bigint, head_sa bigint")
 
 
 def boundary_pairs(runs: DataFrame, circular: bool = False) -> DataFrame:
@@ -66,11 +75,11 @@ def boundary_pairs(runs: DataFrame, circular: bool = False) -> DataFrame:
     return runs.select("text_id", before.alias("tail"), F.col("head_sa").alias("head")).filter("tail is not null")
 
 
-def phi_blocks(runs: DataFrame, step: int, circular: bool = False) -> DataFrame:
-    """text_id, start, len, diff, valid_area, see blocks_of."""
+def phi_blocks(runs: DataFrame, step: int, circular: bool = False, kept: DataFrame | None = None) -> DataFrame:
+    """text_id, start, len, diff, valid_area, see blocks_of; kept: what head_samples gives, where it is known."""
     size = runs.groupBy("text_id").agg(F.sum("len").alias("size"))
     pairs = boundary_pairs(runs, circular)
-    kept = head_samples(runs, step).select("text_id", F.col("head_sa").alias("head"), F.lit(True).alias("sampled"))
+    kept = (head_samples(runs, step) if kept is None else kept).select("text_id", F.col("head_sa").alias("head"), F.lit(True).alias("sampled"))
     rows = pairs.join(kept, ["text_id", "head"], "left").join(size, "text_id").select("text_id", "tail", "head", F.coalesce("sampled", F.lit(False)).alias("sampled"), "size")
 
     def make(group: pd.DataFrame) -> pd.DataFrame:

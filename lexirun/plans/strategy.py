@@ -2,19 +2,28 @@
 
 scan: the patterns go to every task as one automaton that reads each text once, whatever their lengths and number;
 the corpus isn't shuffled. For batches of up to SCAN_BYTES of patterns.
-seeds: every text's windows of the shortest pattern's length meet the patterns in a hash join on their first bytes
-and are then compared in full; built-in functions only, and the patterns may be of any number.
+seeds: for more. Patterns have a seed, their first 1, 2, 4 ... or 32 bytes, and a filter of bounded size tells each
+task which windows of its texts may be one; only these windows, as hash, text and place, meet the patterns in a
+shuffle, and what does meet is compared in full with the text, which is shuffled once.
+
+A null pattern occurs nowhere; an empty one is an error.
 """
 
 from __future__ import annotations
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import spread_join, written
+
 SCAN_BYTES = 16 << 20
-SEED = 32
+#: The longest seed, a power of two, and of the filter of seeds: bits for each pattern, the most bits, and bits in a chunk.
+SEED, FILTER_BITS, FILTER_MOST, FILTER_CHUNK = 32, 16, 1 << 28, 1 << 19
+#: Windows of a text that are looked at, and rows that leave a task, at a time.
+STRETCH, ROWS = 1 << 20, 1 << 16
 
 
 def choose(patterns: DataFrame) -> str:
@@ -23,54 +32,165 @@ def choose(patterns: DataFrame) -> str:
 
 
 def refuse_empty(patterns: DataFrame) -> DataFrame:
-    return patterns.withColumn("pattern", F.when(F.octet_length("pattern") == 0, F.raise_error(F.lit("empty pattern")).cast("binary")).otherwise(F.col("pattern")))
+    """patterns without null ones; an empty one raises an error when it is read."""
+    empty = F.raise_error(F.lit("empty pattern")).cast("binary")
+    return patterns.filter("pattern is not null").withColumn("pattern", F.when(F.octet_length("pattern") == 0, empty).otherwise(F.col("pattern")))
 
 
-def scan(corpus: DataFrame, patterns: DataFrame) -> DataFrame:
+def texts_of(corpus: DataFrame) -> DataFrame:
+    """text_id, bytes; a row without id is no text."""
+    return corpus.filter("text_id is not null").select("text_id", "bytes")
+
+
+def asked_of(patterns: DataFrame) -> dict[bytes, list[int]]:
+    """The distinct patterns, each with its ids: a batch of a size that is safe to send to every task."""
+    if choose(patterns) != "scan":
+        raise ValueError(f"over {SCAN_BYTES >> 20} MB of patterns: ask by seeds, or in several batches")
     asked: dict[bytes, list[int]] = {}
-    for r in patterns.select("pat_id", "pattern").collect():
+    for r in patterns.select("pat_id", "pattern").filter("pattern is not null").collect():
         if not r.pattern:
             raise ValueError("empty pattern")
         asked.setdefault(bytes(r.pattern), []).append(r.pat_id)
-    shared = corpus.sparkSession.sparkContext.broadcast(asked)
-    made: list[ahocorasick.Automaton] = []
+    return asked
+
+
+def automaton(patterns) -> ahocorasick.Automaton | None:
+    """Finds (end, (bytes before it, place in patterns)) in texts decoded as latin-1."""
+    found = ahocorasick.Automaton()
+    for k, pattern in enumerate(patterns):
+        found.add_word(pattern.decode("latin-1"), (len(pattern) - 1, k))
+    if not len(found):
+        return None
+    found.make_automaton()
+    return found
+
 
-    def automaton() -> ahocorasick.Automaton:
-        found = ahocorasick.Automaton()
-        for pattern, ids in shared.value.items():
-            found.add_word(pattern.decode("latin-1"), (len(pattern) - 1, ids))
-        if shared.value:
-            found.make_automaton()
-        return found
+def scan(corpus: DataFrame, patterns: DataFrame) -> DataFrame:
+    shared = corpus.sparkSession.sparkContext.broadcast(asked_of(patterns))
 
     def scanned(batches):
-        if not made:
-            made.append(automaton())
-        search = made[0]
+        search, ids = automaton(shared.value), list(shared.value.values())
         for b in batches:
             pats, texts, places = [], [], []
-            for text_id, data in zip(b.column(0), b.column(1), strict=True) if len(search) else ():
+            for text_id, data in zip(b.column(0), b.column(1), strict=True) if search else ():
                 at = text_id.as_py()
-                for end, (back, ids) in search.iter((data.as_py() or b"").decode("latin-1")):
-                    for p in ids:
+                for end, (back, k) in search.iter((data.as_py() or b"").decode("latin-1")):
+                    for p in ids[k]:
                         pats.append(p)
                         texts.append(at)
                         places.append(end - back)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (pats, texts, places)], names=["pat_id", "text_id", "pos"])
 
-    return corpus.select("text_id", "bytes").mapInArrow(scanned, "pat_id bigint, text_id bigint, pos bigint")
+    return texts_of(corpus).mapInArrow(scanned, "pat_id bigint, text_id bigint, pos bigint")
+
+
+def scan_counts(corpus: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern, n: how often the distinct patterns occur; tasks send their sums only."""
+    asked = list(asked_of(patterns))
+    shared = corpus.sparkSession.sparkContext.broadcast(asked)
+
+    def counted(batches):
+        search, total = automaton(shared.value), np.zeros(len(shared.value), np.int64)
+        for b in batches:
+            for data in b.column(0) if search else ():
+                for _, (_, k) in search.iter((data.as_py() or b"").decode("latin-1")):
+                    total[k] += 1
+        met = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([shared.value[k] for k in met], pa.binary()), pa.array(total[met])], names=["pattern", "n"])
+
+    return texts_of(corpus).select("bytes").mapInArrow(counted, "pattern binary, n bigint").groupBy("pattern").agg(F.sum("n").alias("n"))
+
+
+def _mix(x: np.ndarray, key: int) -> np.ndarray:
+    x = (x ^ np.uint64(key)) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def window_hashes(data: np.ndarray, widths: list[int]):
+    """For each of widths (powers of two, rising) the hashes of all windows of data of that width: each is made of two halves."""
+    h, width = _mix(data.astype(np.uint64) + np.uint64(1), 1), 1
+    for asked in widths:
+        while width < asked and len(h):
+            h = _mix(h[:-width] * np.uint64(0xC2B2AE3D27D4EB4F) + _mix(h[width:], 2), 3) if len(h) > width else h[:0]
+            width *= 2
+        yield asked, _mix(h, 16 + asked)
+
+
+def _seeded(patterns: DataFrame) -> DataFrame:
+    """seed (a hash), width, and the columns of patterns."""
+
+    def seeded(batches):
+        for b in batches:
+            widths = [min(SEED, 1 << (len(p.as_py()).bit_length() - 1)) for p in b.column(1)]
+            hashes = [next(h for _, h in window_hashes(np.frombuffer(p.as_py()[:w], np.uint8), [w]))[0] for p, w in zip(b.column(1), widths, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(widths, pa.int32()), *b.columns], names=["seed", "width", *b.schema.names])
+
+    kind = patterns.schema["pat_id"].dataType.simpleString()
+    return patterns.select("pat_id", "pattern").mapInArrow(seeded, f"seed bigint, width int, pat_id {kind}, pattern binary")
+
+
+def _filter_of(seeded: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """A bit for each seed, put together by the executors, and the widths there are."""
+    number, widths = seeded.agg(F.count("*"), F.collect_set("width")).first()
+    size = FILTER_CHUNK
+    while size < min(FILTER_MOST, number * FILTER_BITS):
+        size *= 2
+    place = F.col("seed").bitwiseAND(F.lit(size - 1))
+
+    def merged(batches):
+        chunks: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = b.column(1).to_numpy()
+            for k in np.unique(at // FILTER_CHUNK).tolist():
+                bits = chunks.setdefault(k, np.zeros(FILTER_CHUNK, bool))
+                bits[at[at // FILTER_CHUNK == k] % FILTER_CHUNK] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int32()), pa.array([np.packbits(x).tobytes() for x in chunks.values()], pa.binary())], names=["chunk", "bits"])
+
+    places = seeded.select(place.alias("place")).distinct().select(F.floor(F.col("place") / FILTER_CHUNK).cast("int").alias("chunk"), "place")
+    out = np.zeros(size // 8, np.uint8)
+    for k, bits in places.repartition("chunk").mapInArrow(merged, "chunk int, bits binary").collect():
+        out[k * FILTER_CHUNK // 8 : (k + 1) * FILTER_CHUNK // 8] |= np.frombuffer(bytes(bits), np.uint8)
+    return out, sorted(widths)
+
+
+def seed_windows(corpus: DataFrame, seeded: DataFrame) -> DataFrame:
+    """seed, text_id, pos of the windows of corpus that pass the filter of seeds."""
+    shared = corpus.sparkSession.sparkContext.broadcast(_filter_of(seeded))
+
+    def windows(batches):
+        bits, widths = shared.value
+        mask = np.uint64(len(bits) * 8 - 1)
+        for b in batches:
+            for text_id, data in zip(b.column(0), b.column(1), strict=True) if widths else ():
+                text, at = np.frombuffer(data.as_py() or b"", np.uint8), text_id.as_py()
+                for first in range(0, len(text), STRETCH):
+                    for _, h in window_hashes(text[first : first + STRETCH + widths[-1] - 1], widths):
+                        h = h[:STRETCH]
+                        place = (h & mask).astype(np.int64)
+                        met = np.flatnonzero(bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1)
+                        for k in range(0, len(met), ROWS):
+                            part = met[k : k + ROWS]
+                            yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(np.full(len(part), at, np.int64)), pa.array(first + part)], names=["seed", "text_id", "pos"])
+
+    return texts_of(corpus).mapInArrow(windows, "seed bigint, text_id bigint, pos bigint")
+
+
+def seed_hits(corpus: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pat_id, pattern, text_id, pos: one row per occurrence."""
+    seeded = written(_seeded(refuse_empty(patterns.select("pat_id", "pattern"))))
+    near = written(spread_join(written(seed_windows(corpus, seeded)), seeded.drop("width"), "seed").drop("seed"))
+    met = spread_join(near, corpus.select("text_id", "bytes"), "text_id")
+    return met.filter(F.expr("substring(bytes, cast(pos AS int) + 1, octet_length(pattern)) = pattern")).select("pat_id", "pattern", "text_id", "pos")
 
 
 def seeds(corpus: DataFrame, patterns: DataFrame) -> DataFrame:
-    asked = refuse_empty(patterns.select("pat_id", "pattern"))
-    shortest = asked.agg(F.min(F.octet_length("pattern"))).first()[0]
-    width = min(SEED, shortest or 1)
-    keyed = asked.withColumn("seed", F.expr(f"substring(pattern, 1, {width})"))
-    long_enough = corpus.filter(F.octet_length("bytes") >= width)
-    places = F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - width)).alias("pos")
-    windows = long_enough.select("text_id", "bytes", places).withColumn("seed", F.expr(f"substring(bytes, pos + 1, {width})"))
-    met = windows.join(keyed, "seed").filter(F.expr("substring(bytes, pos + 1, octet_length(pattern)) = pattern"))
-    return met.select("pat_id", "text_id", F.col("pos").cast("bigint").alias("pos"))
+    return seed_hits(corpus, patterns).select("pat_id", "text_id", "pos")
+
+
+def seed_counts(corpus: DataFrame, patterns: DataFrame) -> DataFrame:
+    """pattern, n, as scan_counts."""
+    once = patterns.select(F.lit(0).cast("bigint").alias("pat_id"), "pattern").distinct()
+    return seed_hits(corpus, once).groupBy("pattern").agg(F.count("*").alias("n"))
 
 
 def windows_of(corpus: DataFrame, width: int) -> DataFrame:

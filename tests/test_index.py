@@ -11,8 +11,11 @@ from lexirun.operators import runs as R
 from lexirun.operators import samples as S
 from lexirun.operators import search as U
 from lexirun.operators import suffix as X
+from lexirun.plans import index as index_plans
 from lexirun.plans.index import build_index, load_index, read_metadata
+from lexirun.sources import formats
 
+#: Text, suffix array, transform, head and tail samples.
 GOLDEN = {
     1: (b"abcabcababc", [11, 6, 8, 3, 0, 7, 9, 4, 1, 10, 5, 2], b"ccbc\0aaaabbb", [11, 8, 3, 0, 7, 10], [6, 8, 3, 0, 1, 2]),
     2: (b"abracadabra", [11, 10, 7, 0, 3, 5, 8, 1, 4, 6, 9, 2], b"ard\0rcaaaabb", [11, 10, 7, 0, 3, 5, 8, 9], [11, 10, 7, 0, 3, 5, 6, 2]),
@@ -192,9 +195,134 @@ def test_levels_save_and_load(spark, golden, tmp_path):
 
 def test_intervals_and_decode(spark, golden):
     rows, ask = X.suffixes(golden), asked(spark, [b"a", b"ab", b"issi"])
-    spans = U.intervals(rows, golden, ask)
+    spans = U.intervals(golden, ask)
     assert {(r.text_id, r.l, r.r, r.first_pos) for r in spans.filter("pat_id = 2").collect()} == {(4, 3, 4, 4)}
     assert {r.pos for r in U.locate_ordered(rows, spans.filter("pat_id = 2")).collect()} == {4, 1}
     index = build_index(golden, "toehold", 8)
     told = {(r.text_id, r.i): r.pos for r in U.decode(index.runs, rows.select("text_id", "i")).collect()}
     assert told == {(r.text_id, r.i): r.pos for r in rows.collect()}
+
+
+def test_strategies_against_each_other(spark):
+    texts = random_texts(12, 40) | {100: b"", 101: b"a", 102: b"aaaa"}
+    patterns = sorted({t[k : k + m] for t in texts.values() if t for k in (0, len(t) // 2) for m in (1, 2, 4)} - {b""})
+    corpus, ask = made(spark, texts), asked(spark, patterns)
+    sampled, whole = build_index(corpus, "csa", 4), build_index(corpus, "rindex")
+    found = [sorted(index.locate(ask, s).collect()) for index, s in ((sampled, "blocks"), (sampled, "samples"), (whole, "phi"), (whole, "down"), (whole, "samples"))]
+    assert found[0] and all(f == found[0] for f in found)
+    tails = {(r.text_id, r.pat_id): (r.l, r.r, r.last_pos) for r in whole.count_with_tail(ask).collect()}
+    heads = {(r.text_id, r.pat_id): (r.l, r.r) for r in sampled.count(ask).collect()}
+    assert {k: v[:2] for k, v in tails.items()} == heads
+    assert {(r.text_id, r.pat_id): r.pos for r in whole.locate(ask).collect() if r.ord == heads[r.text_id, r.pat_id][1] - heads[r.text_id, r.pat_id][0]} == {k: v[2] for k, v in tails.items()}
+    with pytest.raises(ValueError, match="this takes rindex"):
+        sampled.locate(ask, "phi")
+    with pytest.raises(ValueError, match="unknown strategy"):
+        sampled.locate(ask, "other")
+
+
+def test_texts_are_sorted_once(spark, golden, monkeypatch):
+    calls = []
+    monkeypatch.setattr(index_plans, "sorted_runs", lambda *a, made=index_plans.sorted_runs: calls.append(1) or made(*a))
+    index = build_index(golden, "csa", 4)
+    for df in (index.runs, index.blocks, index.c_table, index.locate(asked(spark, [b"a"]))):
+        plan = df._jdf.queryExecution().toString()
+        assert "sorted" not in plan and "runs_of" not in plan
+    assert len(calls) == 1
+
+
+def test_index_from_files(spark, golden, tmp_path):
+    text, order, symbols, heads, tails = GOLDEN[1]
+    (tmp_path / "x.bwt").write_bytes(symbols)
+    for name, values in (("heads", heads), ("tails", tails)):
+        formats.write_samples(spark.createDataFrame(list(enumerate(values)), "run_id bigint, sample bigint"), f"{tmp_path}/{name}")
+    ask = asked(spark, [b"ab", b"bc", b"abcab", b"q"])
+    expected = sorted((r.pat_id, r.ord, r.pos) for r in build_index(golden.filter("text_id = 1"), "csa", 4).locate(ask).collect())
+    formats.write_rle_bwt(formats.read_bwt(spark, f"{tmp_path}/x.bwt", "plain"), f"{tmp_path}/x.rle")
+    for files in ((f"{tmp_path}/x.bwt", "plain"), (f"{tmp_path}/x.rle", "rle", f"{tmp_path}/heads", f"{tmp_path}/tails")):
+        for level in ("csa", "rindex"):
+            index = index_plans.index_from_files(spark, *files, level=level, step=4)
+            assert sorted((r.pat_id, r.ord, r.pos) for r in index.locate(ask).collect()) == expected
+    formats.write_samples(spark.createDataFrame([(0, 11)], "run_id bigint, sample bigint"), f"{tmp_path}/few")
+    with pytest.raises(ValueError, match="fewer samples"):
+        index_plans.index_from_files(spark, f"{tmp_path}/x.bwt", "plain", f"{tmp_path}/few", f"{tmp_path}/tails")
+    (tmp_path / "two").write_bytes(b"\0a\0")
+    with pytest.raises(Exception, match="not the transform of one text"):
+        index_plans.index_from_files(spark, f"{tmp_path}/two")
+
+
+def test_space_and_sorters(spark, golden, tmp_path):
+    index = build_index(golden, "csa", 4, "comparing")
+    with pytest.raises(ValueError, match="saved"):
+        index.space()
+    saved = index.save(f"{tmp_path}/i")
+    rows = {r.table: r for r in saved.space().collect()}
+    assert set(rows) == {"runs", "c_table", "blocks"} and all(r.bytes > 0 and r.rows > 0 for r in rows.values())
+    assert sorted(saved.runs.collect()) == sorted(build_index(golden, "csa", 4).runs.collect())
+    with pytest.raises(Exception, match="unknown sorter"):
+        X.suffixes(golden, "other").collect()
+
+
+def test_null_texts(spark):
+    df = spark.createDataFrame([(1, None), (2, bytearray(b"ab"))], "text_id bigint, bytes binary")
+    assert {r.text_id for r in X.suffixes(df).collect()} == {2} and X.sorted_runs(df).filter("text_id = 1").count() == 0
+
+
+def test_range_operators_keep_every_probe(spark, golden):
+    found = R.runs(X.suffixes(golden))
+    probes = spark.createDataFrame([(1, 0, 4, 97, "x"), (1, 0, 4, 97, "x"), (1, 0, 4, 97, "y"), (1, 2, 2, 99, "z"), (9, 0, 1, 97, "w")], "text_id bigint, i bigint, j bigint, sym smallint, note string")
+    ranks = sorted((r.note, r.rank_i, r.rank_j) for r in Q.range_rank(found, probes).collect())
+    assert ranks == [("w", 0, 0), ("x", 0, 0), ("x", 0, 0), ("y", 0, 0), ("z", 2, 2)]
+    assert sorted((r.note, r.l, r.r) for r in Q.lf_range(found, R.c_table(found), probes).collect()) == [("w", None, None), ("x", None, None), ("x", None, None), ("y", None, None), ("z", None, None)]
+
+
+#: The published cases of LF over ranges of the transform 4 4 3 4 1 2 2 2 2 3 3 3 (empty: None).
+LF_CASES = [
+    ((0, 11), 0, None), ((0, 11), 1, (0, 0)), ((0, 11), 2, (1, 4)), ((0, 11), 3, (5, 8)), ((0, 11), 4, (9, 11)), ((1, 4), 1, (0, 0)), ((1, 4), 2, None), ((1, 4), 3, (5, 5)),
+    ((1, 4), 4, (10, 11)), ((10, 11), 2, None), ((10, 11), 3, (7, 8)),
+]
+
+
+def test_published_ranges(spark):
+    rows = spark.createDataFrame([(1, i, c) for i, c in enumerate([4, 4, 3, 4, 1, 2, 2, 2, 2, 3, 3, 3])], "text_id bigint, i bigint, sym smallint")
+    found = R.with_ranks(R.run_length(rows))
+    probes = spark.createDataFrame([(1, *r, c, k) for k, (r, c, _) in enumerate(LF_CASES)], "text_id bigint, i bigint, j bigint, sym smallint, k int")
+    got = {r.k: (r.l, r.r) if r.l is not None else None for r in Q.lf_range(found, R.c_table(found), probes).collect()}
+    assert got == {k: e for k, (*_, e) in enumerate(LF_CASES)}
+
+
+#: Step, required, expected order of samples of two texts when they are taken from the end.
+SPACED = [
+    ([2, 6, 7, 9, 10, 11], 1, [], [11, 10, 9, 7, 6, 2]), ([2, 6, 7, 9, 10, 11], 2, [], [11, 9, 7, 6, 2]), ([2, 6, 7, 9, 10, 11], 4, [], [11, 7, 6, 2]), ([2, 6, 7, 9, 10, 11], 8, [], [11, 6, 2]),
+    ([2, 6, 7, 9, 10, 11], 8, [7, 6], [11, 7, 6, 2]), ([2, 3, 5, 6, 7, 8, 14, 15, 16, 17], 4, [], [17, 14, 8, 5, 2]),
+]
+
+
+@pytest.mark.parametrize(("values", "step", "required", "expected"), SPACED)
+def test_published_subsampling(values, step, required, expected):
+    assert S.spaced(values, step, required, backward=True) == expected[::-1]
+    assert S.spaced([], 3) == [] and S.spaced([5], 3) == [5] and S.spaced([5, 90], 3) == [5, 90]
+
+
+def test_run_string_operators(spark):
+    texts = random_texts(21, 20)
+    rows = X.suffixes(made(spark, texts))
+    found = R.runs(rows)
+    symbols = {k: bwt(t + b"\0") for k, t in texts.items()}
+    rng = random.Random(4)
+    probes = [(k, *sorted(rng.randrange(len(s)) for _ in "ab"), rng.choice(s)) for k, s in symbols.items() for _ in range(15)]
+    df = spark.createDataFrame([(*p, n) for n, p in enumerate(probes)], "text_id bigint, i bigint, j bigint, sym smallint, n int")
+    parts = {}
+    for r in Q.break_range(found, df, 8).collect():
+        parts.setdefault(r.n, []).append((r.l, r.r))
+    closest = {r.n: r.closest for r in Q.closest_break(found, df).collect()}
+    for n, (k, i, j, c) in enumerate(probes):
+        inside = [x for x in range(i, j + 1) if symbols[k][x] == c]
+        expected = []
+        for x in inside:
+            if expected and expected[-1][1] == x - 1:
+                expected[-1] = (expected[-1][0], x)
+            else:
+                expected.append((x, x))
+        assert sorted(parts.get(n, [])) == expected
+        broken = [x for x in inside if any(i <= y <= j and symbols[k][y] != c for y in (x - 1, x + 1))]
+        assert closest[n] == (broken[0] if broken else None)

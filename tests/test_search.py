@@ -8,6 +8,7 @@ from lexirun.functions import statistics
 from lexirun.operators import patterns as P
 from lexirun.operators import runs as R
 from lexirun.operators import search as U
+from lexirun.plans import strategy
 from lexirun.plans.strategy import choose, windows_of
 from lexirun.sources import formats
 from lexirun.streaming.locate import count_stream, locate_stream
@@ -125,3 +126,69 @@ def test_stream(spark, tmp_path):
 
 def test_lengths_by_expression(spark):
     assert made(spark, {1: "é".encode()}).select(F.octet_length("bytes")).first()[0] == 2
+
+
+def many_patterns(rng, texts, number, longest):
+    out = []
+    for _ in range(number):
+        t = texts[rng.choice(list(texts))]
+        a = rng.randrange(len(t))
+        out.append(t[a : a + rng.randint(1, longest)])
+    return out
+
+
+def test_seeds_of_all_lengths(spark):
+    rng = random.Random(11)
+    texts = {k: bytes(rng.choice(b"abc\xc3\0") for _ in range(rng.randint(1, 400))) for k in range(30)}
+    texts[40] = b"ab" * 3000
+    patterns = many_patterns(rng, texts, 300, 100) + [b"a", b"ab", b"abc", b"ab" * 400, b"\0", b"zz"]
+    corpus, ask = made(spark, texts), asked(spark, patterns)
+    assert sorted(U.locate(corpus, ask, "seeds").collect()) == sorted(U.locate(corpus, ask, "scan").collect())
+
+
+def test_seeds_shuffle_no_texts_with_windows(spark):
+    corpus, ask = made(spark, {1: b"abc" * 50}), asked(spark, [b"abcab"])
+    windows = strategy.seed_windows(corpus, strategy._seeded(ask))
+    assert windows.columns == ["seed", "text_id", "pos"] and windows.count() < 60
+
+
+def test_windows_across_stretches(spark, monkeypatch):
+    monkeypatch.setattr(strategy, "STRETCH", 64)
+    text = bytes(random.Random(2).choice(b"ab") for _ in range(1000))
+    ask = asked(spark, [text[k : k + 40] for k in range(0, 960, 7)] + [b"a", b"abba"])
+    corpus = made(spark, {1: text})
+    assert sorted(U.locate(corpus, ask, "seeds").collect()) == sorted(U.locate(corpus, ask, "scan").collect())
+
+
+def test_twenty_megabytes_of_patterns(spark):
+    """More than goes to every task: chosen by size, one pattern of one byte among them."""
+    rng = random.Random(3)
+    texts = {k: rng.randbytes(60_000) for k in range(8)}
+    patterns = [t[a : a + 2000] for t in texts.values() for a in range(0, 58_000, 43)] + [b"\x07"]
+    patterns += [rng.randbytes(2000) for _ in range(300)]
+    corpus, ask = made(spark, texts), asked(spark, patterns)
+    assert choose(ask) == "seeds" and sum(map(len, patterns)) > 20 << 20
+    counts = {r.pat_id: r.n_occ for r in U.count(corpus, ask).collect()}
+    assert all(counts[k] == 1 for k in range(len(patterns) - 301)) and not any(counts[k] for k in range(len(patterns) - 300, len(patterns)))
+    assert counts[len(patterns) - 301] == sum(t.count(7) for t in texts.values())
+    with pytest.raises(ValueError, match="over 16 MB"):
+        U.locate(corpus, ask, "scan")
+
+
+@pytest.mark.parametrize("plan", ["scan", "seeds"])
+def test_null_and_repeated_patterns(spark, plan):
+    corpus = spark.createDataFrame([(1, bytearray(b"aab")), (2, None), (None, bytearray(b"b"))], "text_id bigint, bytes binary")
+    ask = spark.createDataFrame([(1, bytearray(b"a")), (1, bytearray(b"b")), (2, None), (3, bytearray(b"a"))], "pat_id bigint, pattern binary")
+    assert sorted((r.pat_id, r.n_occ) for r in U.count(corpus, ask, plan).collect()) == [(1, 1), (1, 2), (2, 0), (3, 2)]
+    found = [(r.pat_id, r.text_id, r.pos) for r in U.locate(corpus, ask, plan).collect()]
+    assert sorted(found) == [(1, 1, 0), (1, 1, 1), (1, 1, 2), (3, 1, 0), (3, 1, 1)]
+    assert U.intervals(corpus, ask).filter("pat_id = 2").count() == 0
+
+
+def test_draws_are_even(spark):
+    corpus = made(spark, {1: b"x" * 40, 2: b"y" * 4000})
+    places = [r.pos for s in range(20) for r in P.sample_patterns(corpus, 20, 3, seed=s).collect()]
+    assert len(places) == 400 and 1600 < sum(places) / len(places) < 2400
+    sizes = spark.createDataFrame([(1, 3), (2, 5000), (3, 0)], "text_id bigint, n bigint")
+    drawn = [(r.text_id, r.i) for r in P.sample_positions(sizes, 10).collect()]
+    assert len(set(drawn)) == len(drawn) == 13 and all(0 <= i < 5000 for _, i in drawn)
