@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
@@ -15,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
+from ..plans.store import shared_dir
+
 #: A table of at most this many rows and bytes may be broadcast; both are counted first.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 32 << 20
 #: A group is hot when it holds more than 1/HOT_PARTS of all rows, so there are fewer than HOT_PARTS hot groups.
@@ -33,18 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(cores) if name in LARGE and df.rdd.getNumPartitions() < cores else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset and all is in one JVM, as in tests, one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="lexirun-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 #: The tables that cut() wrote since the scopes that are open began, innermost last.
 _scopes: list[list[DataFrame]] = []
 
