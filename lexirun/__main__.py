@@ -1,7 +1,8 @@
-"""Command line: python -m lexirun build TEXTS INDEX | count INDEX PATTERNS | locate INDEX PATTERNS [--out DIR].
+"""Command line: python -m lexirun build TEXTS INDEX | count INDEX PATTERNS | locate INDEX PATTERNS [--out DIR] | breakdown INDEX.
 
-TEXTS: files, each one text, or with --strings a text file with one text per line. PATTERNS: a pattern file. count
-and locate print a header and a row of statistics; locate writes its rows to --out as Parquet.
+TEXTS: files, each one text, with --strings a text file with one text per line, or with --transform the file of a
+transform, whose samples may be in two more (--heads, --tails). PATTERNS: a pattern file. count and locate print a
+header and a row of statistics; locate writes its rows to --out as Parquet. breakdown prints what each table takes.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .plans.index import LEVELS, build_index, load_index
+from .functions.suffixsort import SORTERS
+from .plans.index import LEVELS, STRATEGIES, build_index, index_from_files, load_index
 from .sources import formats
 
 
@@ -39,7 +41,7 @@ def report(spark: SparkSession, args: argparse.Namespace) -> dict[str, object]:
     if args.command == "count":
         occurrences = index.count(patterns).agg(F.coalesce(F.sum(F.col("r") - F.col("l") + 1), F.lit(0))).first()[0]
     else:
-        found = index.locate(patterns)
+        found = index.locate(patterns, args.strategy)
         if args.out:
             found.write.parquet(args.out)
             found = spark.read.parquet(args.out)
@@ -59,16 +61,29 @@ def main(argv: list[str] | None = None) -> None:
     build.add_argument("index")
     build.add_argument("--level", choices=LEVELS, default="csa")
     build.add_argument("--step", type=int, default=8)
+    build.add_argument("--sorter", choices=list(SORTERS), default="doubling")
     build.add_argument("--strings", action="store_true")
+    build.add_argument("--transform", choices=list(formats.BWT_FORMATS))
+    build.add_argument("--heads")
+    build.add_argument("--tails")
     for name in ("count", "locate"):
         ask = commands.add_parser(name)
         ask.add_argument("index")
         ask.add_argument("patterns")
         ask.add_argument("--out")
+        ask.add_argument("--strategy", choices=list(STRATEGIES))
+    commands.add_parser("breakdown").add_argument("index")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("lexirun").getOrCreate()
     if args.command == "build":
-        build_index(read_texts(spark, args.texts, args.strings), args.level, args.step).save(args.index)
+        if args.transform:
+            index_from_files(spark, args.texts, args.transform, args.heads, args.tails, args.level, args.step).save(args.index)
+        else:
+            build_index(read_texts(spark, args.texts, args.strings), args.level, args.step, args.sorter).save(args.index)
+        return
+    if args.command == "breakdown":
+        rows = load_index(spark, args.index).space()
+        print("\t".join(rows.columns), *("\t".join(map(str, r)) for r in rows.collect()), sep="\n", file=sys.stdout)
         return
     row = report(spark, args)
     print("\t".join(row), "\t".join(map(str, row.values())), sep="\n", file=sys.stdout)

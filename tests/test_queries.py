@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import duckdb
@@ -43,6 +44,20 @@ def test_query_against_sql(spark, sf_dir, duck, name):
     assert rows_of(df.columns, rows) == rows_of(names, found.fetchall())
 
 
+def test_document_index_stats(spark, sf_dir):
+    """No SQL sorts long texts; here they are sorted by 200 bytes, and by all where these are equal."""
+    found = {r.text_id: r for r in catalog.QUERIES["document_index_stats"](spark, sf_dir).collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null").collect()
+    assert len(found) == len(docs)
+    for d in docs:
+        text = d.text.encode() + b"\0"
+        near = sorted((text[k : k + 200], k) for k in range(len(text)))
+        order = [k for _, group in itertools.groupby(near, key=lambda x: x[0]) for k in sorted((k for _, k in group), key=lambda k: text[k:])]
+        runs = [len(list(g)) for _, g in itertools.groupby(text[k - 1] for k in order)]
+        r = found[d.doc_id]
+        assert (r.n, r.r, r.sigma, r.max_run) == (len(text), len(runs), len(set(text)), max(runs)) and math.isclose(r.mean_run, len(text) / len(runs))
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
