@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import attach, cut, discard, release, slices
+from .common import attach, cut, discard, packed, release, slices
 
 #: Repeated units go if they, with the repeated units next to them, have this many words. A passage of over 50 words
 #: whose first sentence is joined to what stands before it still reaches that, short lines that recur don't.
@@ -56,12 +56,37 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "sen
     are repeats. Repeats next to each other in a document make one run (units without words don't part it); runs
     of at least min_words words are returned: doc_id, start, end (code points of the original text, end
     exclusive), units, words, kept_doc_id (the document that keeps the run's first unit). Null and empty texts have
-    no units. Rows equal in id rank alike: all of them keep what is theirs first. A null id ranks first. Other
-    columns are ignored.
+    no units; texts of any length are read whole; an empty table gives an empty one. Rows equal in id rank alike: all of
+    them keep what is theirs first. A null id ranks first. Other columns are ignored, whatever their names.
     """
     return _runs(_repeats(_units(_numbered(docs, id_col, text_col), unit)), min_words).drop("row")
 
 
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit: str = "sentence") -> DataFrame:
+    """docs, all columns, with the spans that repeated_spans names cut out of text, each with one white space character after it.
+
+    A column more, removed (with as many _ in front as make its name new), has the spans as array of start, end
+    (code points of the original text) and kept_doc_id, in order; it is empty where nothing went. A null text stays
+    null. With min_words 1 all but the earliest occurrence of every unit goes.
+    """
+    name = "removed"
+    while name in docs.columns:
+        name = f"_{name}"
+    rows = cut(packed(docs, number=F.monotonically_increasing_id(), doc_id=F.col("doc_id"), text=F.col("text")))
+    spans = _runs(_repeats(_units(rows.select(F.col("number").alias("row"), "doc_id", "text"), unit)), min_words)
+    held = spans.groupBy(F.col("row").alias("number")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "kept_doc_id"))).alias("spans"))
+    kind = held.schema["spans"].dataType.simpleString()
+    met = rows.join(held, "number", "left").select("row", "text", F.coalesce("spans", F.array().cast(kind)).alias("spans"))
+
+    def without(batches):
+        for b in batches:
+            texts = [cut_spans(t.as_py(), [(s["start"], s["end"]) for s in x.as_py()]) if len(x) else t.as_py() for t, x in zip(b.column(1), b.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, b.column(1).type), b.column(2)], names=["row", "text", "spans"])
+
+    out = met.mapInArrow(without, met.schema)
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("spans").alias(name))
+
+
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 

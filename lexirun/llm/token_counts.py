@@ -109,7 +109,8 @@ def counter(model: str) -> Counter:
 def count_tokens(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id and n_tokens, the tokens of its whole text; null and empty texts have none.
 
-    Ids may be null or come twice; other columns are ignored. model: a path that every executor has.
+    Texts of any length are counted whole; ids may be null or come twice; other columns are ignored, whatever their
+    names; an empty table gives an empty one. model: a path that every executor has.
     """
 
     def counted(batches):

@@ -4,7 +4,7 @@ import re
 import pytest
 
 from lexirun.llm import common
-from lexirun.llm.line_dedup import cut_spans, repeated_passages, repeated_spans, units_of
+from lexirun.llm.line_dedup import cut_spans, remove_repeats, repeated_passages, repeated_spans, units_of
 
 
 def norm(part):
@@ -125,3 +125,25 @@ def test_short_run_inside_a_passage(spark):
     assert repeated_spans(df).count() == 0
     found = [(r.doc_id, data[r.doc_id - 1][1][r.start : r.end], r.runs, r.kept_doc_id) for r in repeated_passages(df).collect()]
     assert found == [(2, passage, 0, 1)]
+
+
+@pytest.mark.parametrize("unit", ["line", "paragraph", "sentence"])
+@pytest.mark.parametrize("least", [1, 6])
+def test_removal_from_a_table(spark, unit, least):
+    """The texts that are left, and the offsets of what went, beside a brute force."""
+    data = [(d, t if t is None or d % 2 else t.replace("\n", "\n\n"), "x", d) for d, t in made(3)] + [(500, "w " * 60_000 + "\n\nend", "x", 1), (501, "w " * 60_000 + "\n\nother", "x", 1)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, removed string, row int")
+    found = remove_repeats(df, least, unit)
+    assert found.columns == ["doc_id", "text", "removed", "row", "_removed"]
+    gone = {}
+    for d, start, end, _, _, kept in brute([r[:2] for r in data], least, unit == "sentence", "\n\n" if unit == "paragraph" else "\n"):
+        gone.setdefault(d, []).append((start, end, kept))
+    texts, rows = {r[0]: r[1] for r in data}, found.collect()
+    assert len(rows) == len(data) and sum(map(len, gone.values())) > 10
+    for r in rows:
+        text, mine = texts[r.doc_id], gone.get(r.doc_id, [])
+        assert [tuple(x) for x in r._removed] == mine and r.removed == "x"
+        for start, end, _ in reversed(mine):
+            text = text[:start] + text[end + (text[end : end + 1] in ("\n", "\t", " ") and end < len(text)) :]
+        assert r.text == text
+    assert remove_repeats(df.limit(0)).count() == 0
