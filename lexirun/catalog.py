@@ -160,8 +160,7 @@ def suffix_array_part_names(spark, sf_dir):
 
 @query
 def suffix_array_by_window(spark, sf_dir):
-    nation = C.from_strings(_table(spark, sf_dir, "nation"), "n_nationkey", "n_name")
-    return X.suffixes_by_window(nation)
+    return X.suffixes_by_window(C.from_strings(_table(spark, sf_dir, "part"), "p_partkey", "p_name"))
 
 
 @query

@@ -92,7 +92,7 @@ ORACLES: dict[str, str] = {
     "c_array": f"WITH {_BYTES} SELECT sym, CAST(sum(freq) OVER (ORDER BY sym) - freq AS BIGINT) AS c_lo FROM hist",
     "effective_alphabet": f"WITH {_BYTES} SELECT sym, row_number() OVER (ORDER BY sym) - 1 AS code, freq FROM hist",
     "suffix_array_part_names": f"WITH {_SUFFIXES} SELECT text_id, i, pos FROM suf",
-    "suffix_array_by_window": """WITH each AS (SELECT n_nationkey AS text_id, hex(n_name) || '00' AS h, unnest(range(strlen(n_name) + 1)) AS pos, strlen(n_name) + 1 AS n FROM nation)
+    "suffix_array_by_window": """WITH each AS (SELECT p_partkey AS text_id, hex(p_name) || '00' AS h, unnest(range(strlen(p_name) + 1)) AS pos, strlen(p_name) + 1 AS n FROM part)
         SELECT CAST(text_id AS BIGINT) AS text_id, row_number() OVER (PARTITION BY text_id ORDER BY substr(h, 2 * pos + 1)) - 1 AS i, pos,
                CAST('0x' || substr(h, 2 * ((pos + n - 1) % n) + 1, 2) AS SMALLINT) AS sym FROM each""",
     "bwt_part_names": f"WITH {_SUFFIXES} SELECT text_id, i, sym FROM suf",
