@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.matcher import Matcher
 from ..functions.runindex import RunIndex
-from ..plans.strategy import asked_of, automaton, choose, scan, scan_counts, seed_counts, seeds
+from ..plans.strategy import asked_of, choose, scan, scan_counts, seed_counts, seeds
 from .asof import asof
 from .suffix import sorted_texts, suffixes
 
@@ -34,7 +35,7 @@ def count(corpus: DataFrame, patterns: DataFrame, strategy: str | None = None) -
 def intervals(corpus: DataFrame, patterns: DataFrame) -> DataFrame:
     """pat_id, text_id, l, r, n_occ, first_pos (= SA[l]) of each text and pattern that occurs in it.
 
-    A text is sorted, and read once by an automaton of all patterns; the ranks of a pattern's places are its interval.
+    A text is sorted, and read once for all patterns; the ranks of a pattern's places are its interval.
     Patterns too many to be sent are located by their seeds and meet the sorted suffixes in a join.
     """
     if choose(patterns) != "scan":
@@ -44,14 +45,14 @@ def intervals(corpus: DataFrame, patterns: DataFrame) -> DataFrame:
     names = ["pat_id", "text_id", "l", "r", "n_occ", "first_pos"]
 
     def found(batches):
-        search, ids = automaton(shared.value), list(shared.value.values())
-        for text_id, text, order in sorted_texts(batches) if search else ():
-            hits = np.array([(k, end - back) for end, (back, k) in search.iter(text[:-1].decode("latin-1"))], np.int64).reshape(-1, 2)
+        search, ids = Matcher(list(shared.value)), list(shared.value.values())
+        for text_id, text, order in sorted_texts(batches):
+            hits, where = search.find(text[:-1])
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
-            which, place = np.unique(hits[:, 0], return_inverse=True)
+            which, place = np.unique(hits, return_inverse=True)
             low = np.full(len(which), len(order), np.int64)
-            np.minimum.at(low, place, rank[hits[:, 1]])
+            np.minimum.at(low, place, rank[where])
             times = np.bincount(place, minlength=len(which))
             rows = [(p, text_id, l, l + n - 1, n, x) for k, l, n, x in zip(which.tolist(), low.tolist(), times.tolist(), order[low].tolist(), strict=True) for p in ids[k]]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(len(names))], names=names)

@@ -1,6 +1,6 @@
 """Two plans for locating patterns without an index, and the choice between them.
 
-scan: the patterns go to every task as one automaton that reads each text once, whatever their lengths and number;
+scan: the patterns go to every task, which reads each text once, whatever their lengths and number (functions.matcher);
 the corpus isn't shuffled. For batches of up to SCAN_BYTES of patterns.
 seeds: for more. Patterns have a seed, their first 1, 2, 4 ... or 32 bytes, and a filter of bounded size tells each
 task which windows of its texts may be one; only these windows, as hash, text and place, meet the patterns in a
@@ -11,19 +11,18 @@ A null pattern occurs nowhere; an empty one is an error.
 
 from __future__ import annotations
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import matcher
+from ..functions.matcher import FILTER_BITS, Matcher, passing, seed_hashes, seed_width
 from .store import spread_join, written
 
 SCAN_BYTES = 16 << 20
-#: The longest seed, a power of two, and of the filter of seeds: bits for each pattern, the most bits, and bits in a chunk.
-SEED, FILTER_BITS, FILTER_MOST, FILTER_CHUNK = 32, 16, 1 << 28, 1 << 19
-#: Windows of a text that are looked at, and rows that leave a task, at a time.
-STRETCH, ROWS = 1 << 20, 1 << 16
+#: The most bits of the filter of seeds, bits in a chunk of it, and rows that leave a task at a time.
+FILTER_MOST, FILTER_CHUNK, ROWS = 1 << 28, matcher.FILTER_LEAST, 1 << 16
 
 
 def choose(patterns: DataFrame) -> str:
@@ -54,76 +53,50 @@ def asked_of(patterns: DataFrame) -> dict[bytes, list[int]]:
     return asked
 
 
-def automaton(patterns) -> ahocorasick.Automaton | None:
-    """Finds (end, (bytes before it, place in patterns)) in texts decoded as latin-1."""
-    found = ahocorasick.Automaton()
-    for k, pattern in enumerate(patterns):
-        found.add_word(pattern.decode("latin-1"), (len(pattern) - 1, k))
-    if not len(found):
-        return None
-    found.make_automaton()
-    return found
-
-
 def scan(corpus: DataFrame, patterns: DataFrame) -> DataFrame:
     shared = corpus.sparkSession.sparkContext.broadcast(asked_of(patterns))
 
     def scanned(batches):
-        search, ids = automaton(shared.value), list(shared.value.values())
+        search, ids = Matcher(list(shared.value)), list(shared.value.values())
+        times = np.array([len(x) for x in ids], np.int64)
+        flat = np.array([p for x in ids for p in x], np.int64)
+        start = np.cumsum(times) - times
         for b in batches:
-            pats, texts, places = [], [], []
-            for text_id, data in zip(b.column(0), b.column(1), strict=True) if search else ():
-                at = text_id.as_py()
-                for end, (back, k) in search.iter((data.as_py() or b"").decode("latin-1")):
-                    for p in ids[k]:
-                        pats.append(p)
-                        texts.append(at)
-                        places.append(end - back)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (pats, texts, places)], names=["pat_id", "text_id", "pos"])
+            for text_id, data in zip(b.column(0), b.column(1), strict=True):
+                which, where = search.find(data.as_py() or b"")
+                n = times[which]
+                pats = flat[np.repeat(start[which] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+                where = np.repeat(where, n)
+                for k in range(0, len(pats), ROWS):
+                    part = slice(k, k + ROWS)
+                    yield pa.RecordBatch.from_arrays([pa.array(pats[part]), pa.array(np.full(len(pats[part]), text_id.as_py(), np.int64)), pa.array(where[part])], names=["pat_id", "text_id", "pos"])
 
     return texts_of(corpus).mapInArrow(scanned, "pat_id bigint, text_id bigint, pos bigint")
 
 
 def scan_counts(corpus: DataFrame, patterns: DataFrame) -> DataFrame:
     """pattern, n: how often the distinct patterns occur; tasks send their sums only."""
-    asked = list(asked_of(patterns))
-    shared = corpus.sparkSession.sparkContext.broadcast(asked)
+    shared = corpus.sparkSession.sparkContext.broadcast(list(asked_of(patterns)))
 
     def counted(batches):
-        search, total = automaton(shared.value), np.zeros(len(shared.value), np.int64)
+        search = Matcher(shared.value)
+        total = np.zeros(len(search.patterns), np.int64)
         for b in batches:
-            for data in b.column(0) if search else ():
-                for _, (_, k) in search.iter((data.as_py() or b"").decode("latin-1")):
-                    total[k] += 1
+            for data in b.column(0):
+                total += np.bincount(search.find(data.as_py() or b"")[0], minlength=len(total))
         met = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([shared.value[k] for k in met], pa.binary()), pa.array(total[met])], names=["pattern", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([search.patterns[k] for k in met], pa.binary()), pa.array(total[met])], names=["pattern", "n"])
 
     return texts_of(corpus).select("bytes").mapInArrow(counted, "pattern binary, n bigint").groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
-def _mix(x: np.ndarray, key: int) -> np.ndarray:
-    x = (x ^ np.uint64(key)) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
-
-
-def window_hashes(data: np.ndarray, widths: list[int]):
-    """For each of widths (powers of two, rising) the hashes of all windows of data of that width: each is made of two halves."""
-    h, width = _mix(data.astype(np.uint64) + np.uint64(1), 1), 1
-    for asked in widths:
-        while width < asked and len(h):
-            h = _mix(h[:-width] * np.uint64(0xC2B2AE3D27D4EB4F) + _mix(h[width:], 2), 3) if len(h) > width else h[:0]
-            width *= 2
-        yield asked, _mix(h, 16 + asked)
-
-
 def _seeded(patterns: DataFrame) -> DataFrame:
     """seed (a hash), width, and the columns of patterns."""
 
     def seeded(batches):
         for b in batches:
-            widths = [min(SEED, 1 << (len(p.as_py()).bit_length() - 1)) for p in b.column(1)]
-            hashes = [next(h for _, h in window_hashes(np.frombuffer(p.as_py()[:w], np.uint8), [w]))[0] for p, w in zip(b.column(1), widths, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.uint64).view(np.int64)), pa.array(widths, pa.int32()), *b.columns], names=["seed", "width", *b.schema.names])
+            data = b.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(seed_hashes(data).view(np.int64)), pa.array([seed_width(len(p)) for p in data], pa.int32()), *b.columns], names=["seed", "width", *b.schema.names])
 
     kind = patterns.schema["pat_id"].dataType.simpleString()
     return patterns.select("pat_id", "pattern").mapInArrow(seeded, f"seed bigint, width int, pat_id {kind}, pattern binary")
@@ -159,18 +132,12 @@ def seed_windows(corpus: DataFrame, seeded: DataFrame) -> DataFrame:
 
     def windows(batches):
         bits, widths = shared.value
-        mask = np.uint64(len(bits) * 8 - 1)
         for b in batches:
-            for text_id, data in zip(b.column(0), b.column(1), strict=True) if widths else ():
-                text, at = np.frombuffer(data.as_py() or b"", np.uint8), text_id.as_py()
-                for first in range(0, len(text), STRETCH):
-                    for _, h in window_hashes(text[first : first + STRETCH + widths[-1] - 1], widths):
-                        h = h[:STRETCH]
-                        place = (h & mask).astype(np.int64)
-                        met = np.flatnonzero(bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1)
-                        for k in range(0, len(met), ROWS):
-                            part = met[k : k + ROWS]
-                            yield pa.RecordBatch.from_arrays([pa.array(h[part].view(np.int64)), pa.array(np.full(len(part), at, np.int64)), pa.array(first + part)], names=["seed", "text_id", "pos"])
+            for text_id, data in zip(b.column(0), b.column(1), strict=True):
+                for _, places, hashes in passing(np.frombuffer(data.as_py() or b"", np.uint8), widths, bits):
+                    for k in range(0, len(places), ROWS):
+                        part = slice(k, k + ROWS)
+                        yield pa.RecordBatch.from_arrays([pa.array(hashes[part].view(np.int64)), pa.array(np.full(len(places[part]), text_id.as_py(), np.int64)), pa.array(places[part])], names=["seed", "text_id", "pos"])
 
     return texts_of(corpus).mapInArrow(windows, "seed bigint, text_id bigint, pos bigint")
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_index import asked, made
 
-from lexirun.functions import statistics
+from lexirun.functions import matcher, statistics
 from lexirun.operators import patterns as P
 from lexirun.operators import runs as R
 from lexirun.operators import search as U
@@ -153,10 +153,12 @@ def test_seeds_shuffle_no_texts_with_windows(spark):
 
 
 def test_windows_across_stretches(spark, monkeypatch):
-    monkeypatch.setattr(strategy, "STRETCH", 64)
+    monkeypatch.setattr(matcher, "STRETCH", 64)
     text = bytes(random.Random(2).choice(b"ab") for _ in range(1000))
-    ask = asked(spark, [text[k : k + 40] for k in range(0, 960, 7)] + [b"a", b"abba"])
-    corpus = made(spark, {1: text})
+    patterns = [text[k : k + 40] for k in range(0, 960, 7)] + [b"a", b"abba"]
+    which, where = matcher.Matcher(patterns).find(text)
+    assert sorted(zip(which.tolist(), where.tolist(), strict=True)) == sorted((p, x) for p, pattern in enumerate(patterns) for x in every(text, pattern))
+    corpus, ask = made(spark, {1: text}), asked(spark, patterns)
     assert sorted(U.locate(corpus, ask, "seeds").collect()) == sorted(U.locate(corpus, ask, "scan").collect())
 
 
