@@ -138,42 +138,28 @@ def _shared_tokens(nodes: DataFrame) -> DataFrame:
 
 
 def _linking(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b: nodes) whose sets link, compared exactly."""
-
-    def compared(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int((y[at] == x).sum())
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
-
+    """Those of pairs (a, b: nodes) whose sets link, compared exactly, a pair at a time, where the join puts them together."""
     first, second = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     if fits(pairs):
         met = F.broadcast(pairs).join(first, "a").join(second, "b")
     else:  # a hub's tokens are copied to as many places as its pairs are spread over
         met = lookup(cut(lookup(pairs, first, ["a"])), second, ["b"])
-    return cut(met.select("a", "b", "x", "y").mapInArrow(compared, "a bigint, b bigint"))
+    both = F.size(F.array_intersect("x", "y"))
+    return cut(met.withColumn("both", both).filter(100 * F.col("both") >= PERCENT * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b"))
 
 
 def _sets(raw: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node and the sorted tokens (bytes) of the nodes in pairs."""
+    """node and the tokens of the nodes in pairs."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     named = cut(nodes.select("node", "key", "min_doc").join(wanted, "node", "left_semi"))
     docs = only_ids(raw, cut(named.select(F.col("min_doc").alias("doc_id")).distinct()), "doc_id").unionByName(raw.filter("doc_id is null"))
 
     def tokens(batches):
         for b in slices(batches):
-            found = [shingle_set(t.as_py()).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in found], pa.binary()), pa.array(found, pa.binary())], names=["key", "tokens"])
+            found = [shingle_set(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["key", "tokens"])
 
-    return cut(docs.mapInArrow(tokens, "key binary, tokens binary").join(F.broadcast(named) if fits(named) else named, "key").select("node", "tokens"))
+    return cut(docs.mapInArrow(tokens, "key binary, tokens array<bigint>").join(F.broadcast(named) if fits(named) else named, "key").select("node", "tokens"))
 
 
 def _differ(other: list[str]):
