@@ -49,7 +49,10 @@ def cut(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables that cut() wrote and nothing reads any more."""
+    """Deletes tables that cut() wrote and nothing reads any more; once deleted, a table is no scope's."""
+    gone = {df.cut_path for df in tables}
+    for scope in _scopes:
+        scope[:] = [df for df in scope if df.cut_path not in gone]
     for df in tables:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)

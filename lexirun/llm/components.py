@@ -30,5 +30,6 @@ def components(links: DataFrame) -> DataFrame:
         after = cut(met.select("node", F.col("comp").alias("old"), F.least("new", F.coalesce("far", "new")).alias("comp")))
         discard(told)
         label = after.select("node", "comp")
+        label.cut_path = after.cut_path
         if after.filter("old <> comp").isEmpty():
             return label

@@ -134,6 +134,7 @@ def _shared_tokens(nodes: DataFrame) -> DataFrame:
     hot = cut(every.filter("pos >= cold").select(columns))
     times = cut(hot.groupBy("token").agg(F.count("*").alias("__n")).filter("__n > 1"))
     found = cut(cold.unionByName(attach(hot, times, ["token"], "__n", max(1, hot.count())).filter("__n is not null").drop("__n")))
+    release(nodes.sparkSession)
     return cut(found.join(nodes.select("node", *BITS), "node"))
 
 
@@ -189,10 +190,8 @@ def _merge(comp: DataFrame | None, links: DataFrame) -> DataFrame:
     return cut(lookup(known, moved.select(F.col("node").alias("comp"), F.col("comp").alias("new")), ["comp"]).select("node", F.coalesce("new", "comp").alias("comp")))
 
 
-def _mixed(rows: DataFrame, comp: DataFrame | None) -> DataFrame:
+def _mixed(rows: DataFrame, comp: DataFrame) -> DataFrame:
     """The matrix's rows with their comp, of tokens that more than one comp has."""
-    if comp is None:
-        return rows.withColumn("comp", F.col("node"))
     placed = cut(rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     mixed = cut(placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("__n")).filter("lo <> hi").select("token", "__n"))
     return cut(attach(placed, mixed, ["token"], "__n", max(1, placed.count())).filter("__n is not null").drop("__n"))
@@ -264,20 +263,27 @@ def _grouped(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows.cut_path = described.cut_path
     full = _nodes(raw, _frequencies(described), rows.count())
     release(spark)
-    left, comp = _shared_tokens(full), None
-    nodes = cut(full.drop("tokens"))
+    with scratch() as keep:
+        stored, comp = _shared_tokens(full), None
+        nodes = cut(full.drop("tokens"))
+        keep(stored, nodes)
     discard(full)
     for turn in range(TURNS + 1):
         release(spark)
-        left = _mixed(left.drop("comp"), comp)
-        pairs = cut(_promising(left, turn) if turn < TURNS else _qualifying(left))
-        if pairs.isEmpty():
-            continue
-        sets = _sets(raw, nodes, pairs)
-        links = _linking(pairs, sets)
-        discard(sets)
-        if not links.isEmpty():
-            comp = _merge(comp, links)
+        with scratch() as keep:  # of a turn only the components and the rows that are left outlive it
+            if comp is None:
+                left = stored.withColumn("comp", F.col("node"))
+            else:
+                left, before = _mixed(stored.drop("comp"), comp), stored
+                discard(before)
+                stored = left
+                keep(stored)
+            pairs = cut(_promising(left, turn) if turn < TURNS else _qualifying(left))
+            if not pairs.isEmpty():
+                links = _linking(pairs, _sets(raw, nodes, pairs))
+                if not links.isEmpty():
+                    comp = _merge(comp, links)
+                    keep(comp)
     ids = nodes.select("node", "key", "min_doc", F.col("copies").alias("__n"))
     if comp is not None:
         ids = ids.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
