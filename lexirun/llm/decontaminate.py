@@ -18,7 +18,7 @@ BITS, BLOCKS = 64, 5
 #: Fingerprints within this many bits are candidates. At weighted similarity 0.8 the mean distance is 9.7 bits, its deviation 2.9.
 RADIUS = 19
 PERCENT = 80
-#: Items, and bytes of their texts, that go to the tasks at a time: an item takes about 12 kB there, and 60 bytes a byte of text.
+#: Items, and bytes of their texts, that go to the tasks at a time: an item takes 7 to 18 kB there for its fingerprint, and about 20 bytes a byte of text.
 #: More items take more turns, over the documents that hold a shingle of any item.
 ITEMS_PER_PASS, BYTES_PER_PASS = 4096, 2 << 20
 #: Bits of the filter that finds these documents: FILTER_BITS for each word of the items, but not more than FILTER_MOST.
