@@ -135,13 +135,15 @@ def fits(df: DataFrame, times: int = 1) -> bool:
     return rows <= BROADCAST_ROWS * times and bytes_ <= BROADCAST_BYTES
 
 
-def attach(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+def attach(rows: DataFrame, groups: DataFrame, keys: list[str], weight: str, total: int | None = None) -> DataFrame:
     """rows left-joined with groups (one row per key, cut before; weight: how many rows have the key).
 
-    Few groups are broadcast; otherwise hot keys are spread, see spread_join.
+    Few groups are broadcast; otherwise hot keys are spread, see spread_join. total: how many rows there are; if
+    unknown they are counted, and only where they are spread.
     """
     if fits(groups):
         return rows.join(F.broadcast(groups), keys, "left")
+    total = max(1, rows.count()) if total is None else total
     added = [c for c in groups.columns if c not in keys]
     return spread_join(rows, groups, keys, spread_of(groups.select(*keys, weight), weight, total)).select(*rows.columns, *added)
 

@@ -24,11 +24,13 @@ def components(links: DataFrame) -> DataFrame:
         named = label.select(F.col("node").alias("b"), F.col("comp").alias("m"))
         met = both.join(F.broadcast(named), "b") if small else spread_join(both, named, ["b"], hubs)
         near = met.groupBy("a").agg(F.min("m").alias("m"))
-        told = cut(label.join(near, label["node"] == near["a"], "left").select("node", "comp", F.least("comp", F.coalesce("m", "comp")).alias("new")))
+        told = label.join(near, label["node"] == near["a"], "left").select("node", "comp", F.least("comp", F.coalesce("m", "comp")).alias("new"))
+        told = told if small else cut(told)
         jump = told.select(F.col("node").alias("new"), F.col("new").alias("far"))
         met = told.join(F.broadcast(jump), "new", "left") if small else lookup(told, jump, ["new"])
         after = cut(met.select("node", F.col("comp").alias("old"), F.least("new", F.coalesce("far", "new")).alias("comp")))
-        discard(told)
+        if not small:
+            discard(told)
         label = after.select("node", "comp")
         label.cut_path = after.cut_path
         if after.filter("old <> comp").isEmpty():

@@ -133,7 +133,7 @@ def _shared_tokens(nodes: DataFrame) -> DataFrame:
     cold = every.filter("pos < cold").select(columns).repartition("token").sortWithinPartitions("token").mapInArrow(repeated, "token bigint, node bigint, pos int, n bigint")
     hot = cut(every.filter("pos >= cold").select(columns))
     times = cut(hot.groupBy("token").agg(F.count("*").alias("__n")).filter("__n > 1"))
-    found = cut(cold.unionByName(attach(hot, times, ["token"], "__n", max(1, hot.count())).filter("__n is not null").drop("__n")))
+    found = cut(cold.unionByName(attach(hot, times, ["token"], "__n").filter("__n is not null").drop("__n")))
     release(nodes.sparkSession)
     return cut(found.join(nodes.select("node", *BITS), "node"))
 
@@ -153,14 +153,17 @@ def _sets(raw: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """node and the tokens of the nodes in pairs."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     named = cut(nodes.select("node", "key", "min_doc").join(wanted, "node", "left_semi"))
-    docs = only_ids(raw, cut(named.select(F.col("min_doc").alias("doc_id")).distinct()), "doc_id").unionByName(raw.filter("doc_id is null"))
+    small = fits(named)
+    ids = named.select(F.col("min_doc").alias("doc_id"))  # semi-joined, so one that comes twice does no harm
+    docs = raw.join(F.broadcast(ids), "doc_id", "left_semi") if small else only_ids(raw, cut(ids.distinct()), "doc_id")
+    docs = docs.unionByName(raw.filter("doc_id is null"))
 
     def tokens(batches):
         for b in slices(batches):
             found = [shingle_set(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["key", "tokens"])
 
-    return cut(docs.mapInArrow(tokens, "key binary, tokens array<bigint>").join(F.broadcast(named) if fits(named) else named, "key").select("node", "tokens"))
+    return cut(docs.mapInArrow(tokens, "key binary, tokens array<bigint>").join(F.broadcast(named) if small else named, "key").select("node", "tokens"))
 
 
 def _differ(other: list[str]):
@@ -194,7 +197,7 @@ def _mixed(rows: DataFrame, comp: DataFrame) -> DataFrame:
     """The matrix's rows with their comp, of tokens that more than one comp has."""
     placed = cut(rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
     mixed = cut(placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("__n")).filter("lo <> hi").select("token", "__n"))
-    return cut(attach(placed, mixed, ["token"], "__n", max(1, placed.count())).filter("__n is not null").drop("__n"))
+    return cut(attach(placed, mixed, ["token"], "__n").filter("__n is not null").drop("__n"))
 
 
 def _promising(rows: DataFrame, turn: int) -> DataFrame:
@@ -208,7 +211,7 @@ def _promising(rows: DataFrame, turn: int) -> DataFrame:
     owner = rows.groupBy("token").agg(F.count("*").alias("__n"), F.min_by(F.struct(*columns), rank).alias("o"))
     owner = cut(owner.select("token", "__n", *[F.col(f"o.{c}").alias(f"o_{c}") for c in columns]))
     other = [f"o_{c}" for c in BITS]
-    met = attach(rows, owner, ["token"], "__n", max(1, rows.count())).filter(F.col("comp") != F.col("o_comp")).filter(_may_link("n", "pos", "o_n", "o_pos", other))
+    met = attach(rows, owner, ["token"], "__n").filter(F.col("comp") != F.col("o_comp")).filter(_may_link("n", "pos", "o_n", "o_pos", other))
     return met.groupBy("node").agg(F.min(F.struct(_differ(other).alias("d"), F.col("o_node").alias("b")))["b"].alias("b")).select(F.col("node").alias("a"), "b")
 
 
@@ -250,7 +253,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     with scratch() as keep:
         rows, sets = _grouped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
         keep(rows, sets)
-    out = attach(rows, sets, ["key"], "__n", max(1, rows.count()))
+    out = attach(rows, sets, ["key"], "__n")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -268,27 +271,30 @@ def _grouped(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         nodes = cut(full.drop("tokens"))
         keep(stored, nodes)
     discard(full)
+    linked = False
     for turn in range(TURNS + 1):
         release(spark)
         with scratch() as keep:  # of a turn only the components and the rows that are left outlive it
             if comp is None:
                 left = stored.withColumn("comp", F.col("node"))
-            else:
+            elif linked:  # if the turn before linked nothing, what is left is what it was
                 left, before = _mixed(stored.drop("comp"), comp), stored
                 discard(before)
                 stored = left
                 keep(stored)
             pairs = cut(_promising(left, turn) if turn < TURNS else _qualifying(left))
+            linked = False
             if not pairs.isEmpty():
                 links = _linking(pairs, _sets(raw, nodes, pairs))
-                if not links.isEmpty():
+                linked = not links.isEmpty()
+                if linked:
                     comp = _merge(comp, links)
                     keep(comp)
     ids = nodes.select("node", "key", "min_doc", F.col("copies").alias("__n"))
     if comp is not None:
         ids = ids.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         least = cut(ids.groupBy("comp").agg(F.min("min_doc").alias("component_id"), F.count("*").alias("__c")))
-        ids = attach(ids, least, ["comp"], "__c", max(1, nodes.count())).select("key", "component_id", "comp", "__n")
+        ids = attach(ids, least, ["comp"], "__c").select("key", "component_id", "comp", "__n")
     else:
         ids = ids.select("key", F.col("min_doc").alias("component_id"), F.col("node").alias("comp"), "__n")
     return rows, cut(ids)
@@ -304,10 +310,10 @@ def drop_similar(docs: DataFrame) -> DataFrame:
     with scratch() as keep:
         named = packed(docs, doc_id=F.col("doc_id"), text=F.col("text"))
         rows, sets = _grouped(named.select(F.struct("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("k")).alias("doc_id"), "text"))
-        met = attach(rows.filter("key is not null"), sets, ["key"], "__n", max(1, rows.count()))
+        met = attach(rows.filter("key is not null"), sets, ["key"], "__n")
         each = cut(met.select("doc_id", "comp").groupBy("comp", "doc_id").agg(F.count("*").alias("times")))
         stays = cut(each.groupBy("comp").agg(F.min_by(F.struct("doc_id", "times"), F.struct(F.isnull("doc_id.doc_id"), "doc_id")).alias("s"), F.count("*").alias("__n")))
-        judged = attach(each, stays.select("comp", F.col("s.doc_id").alias("kept"), "__n"), ["comp"], "__n", max(1, each.count()))
+        judged = attach(each, stays.select("comp", F.col("s.doc_id").alias("kept"), "__n"), ["comp"], "__n")
         gone = cut(judged.filter("doc_id <> kept").select("doc_id.k.*"))
         twice = cut(stays.filter("s.times > 1").select("s.doc_id.k.*"))
         keep(gone, twice)
