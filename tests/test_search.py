@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_index import asked, made
@@ -70,6 +72,17 @@ def test_windows_and_histogram(spark):
     assert statistics.histogram(spark.createDataFrame([(3.0,)], "x double"), "x").collect()[0].n == 1
 
 
+def test_histogram_against_brute_force(spark):
+    drawn = np.random.default_rng(3).integers(0, 60, 203) ** 2
+    found = statistics.histogram(spark.createDataFrame([(float(x),) for x in drawn] + [(None,)], "x double"), "x")
+    q1, q3 = np.percentile(drawn, [25, 75])
+    kept = drawn[drawn <= q3 + 1.5 * (q3 - q1)]
+    width = (kept.max() - kept.min()) / 20
+    bins = Counter(min(19, int((x - kept.min()) / width)) for x in kept.tolist())
+    assert {r.bin: r.n for r in found.collect()} == bins
+    assert statistics.histogram(spark.createDataFrame([], "x double"), "x").collect() == []
+
+
 def test_pattern_files(spark, tmp_path):
     path, ask = f"{tmp_path}/p.pat", asked(spark, [b"a\nb", b"\0\xffc", b"   "])
     formats.write_patterns(ask, path, "some text", 10)
