@@ -2,7 +2,7 @@
 
 Every stage is one operator of lexirun.llm: documents found toxic go; of exact copies the one with the largest id
 stays; of each group of similar documents the one with the smallest id stays; documents that hold a benchmark
-passage go; the rest is encoded.
+passage go; the rest is encoded, and every piece keeps the span of bytes that it came from.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pieces.encode_documents(docs, tokenizer_path(), ("n_tokens", "ids", "ids_sha256", "decoded_sha256"))
+    return pieces.encode_documents(docs, tokenizer_path(), ("n_tokens", "ids", "spans", "ids_sha256", "decoded_sha256"))
 
 
 STAGES = [

@@ -188,17 +188,17 @@ def encode_documents(docs: DataFrame, model: str, columns: tuple[str, ...] = ("i
     ids are those of the library without begin or end ids; spans has start, end, start, end ... in bytes of the
     text; decoded is the library's text for ids. A null text is empty and has no ids. Texts of any length are encoded
     whole; an empty table gives an empty one. Ids may be null or come twice; other columns are ignored, whatever their
-    names. model: a path that every executor has.
+    names. Every text is aligned, whatever is asked; columns only say what is returned. model: a path that every
+    executor has.
     """
     kinds = [COLUMNS[c] for c in columns]
-    align = any(c.startswith("spans") for c in columns)
 
     def encoded(batches):
         e = encoder(model)
         for b in slices(batches, SLICE):  # ids and spans take many times the room of their text
             out = [[] for _ in columns]
             for t in b.column(1):
-                ids, spans = e.encode(t.as_py() or "", align)
+                ids, spans = e.encode(t.as_py() or "")
                 for values, kind in zip(out, kinds, strict=True):
                     values.append(kind[2](e, ids, spans))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(v, k[1]) for v, k in zip(out, kinds, strict=True)]], names=["doc_id", *columns])

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as pb
@@ -76,6 +77,20 @@ def test_models_with_a_character_map(spark, tmp_path, rule, prefix, squeeze, sym
     assert changed > 50
 
 
+@pytest.mark.parametrize("prefix", [True, False])
+@pytest.mark.parametrize("escape", [True, False])
+def test_empty_map_as_walked(prefix, escape):
+    """Where the map is empty, text and alignment are those of the walk with a map in which no key is found."""
+    nothing = CharacterMap(b"")
+    nothing.units = np.zeros(256, "<u4")
+    for text in texts(5, 600):
+        data, source = normalise(text, Rules(CharacterMap(b""), prefix, False, escape))
+        walked, at = normalise(text, Rules(nothing, prefix, False, escape))
+        starts = [k for k, c in enumerate(text.encode()) if c & 0xC0 != 0x80]  # the walk gives all bytes of a character its start
+        assert data == walked and len(source) == len(at)
+        assert [max(s for s in starts if s <= a) for a in source[:-1]] == at[:-1].tolist() and source[-1] == at[-1]
+
+
 def test_counts_against_the_library():
     vocabulary = unigram_vocabulary(MODEL)
     library = Tokenizer(models.Unigram(vocabulary, 0, True))

@@ -52,6 +52,21 @@ def test_stages_do_what_their_operators_decide(spark, sf_dir, docs, tmp_path):
     assert len(set(os.listdir(shared_dir(spark))) - before) == 1  # what the last stage reads
 
 
+def test_the_last_stage_keeps_offsets(spark, sf_dir, docs):
+    """Every piece has the bytes of the text that it came from: those that the library says, and together the whole text."""
+    odd = [(-1, None), (-2, ""), (-3, "  a  b "), (-4, "日本 \U0001f600 é\x00<unk>▁x"), (-5, "x é\n" * 20_000)]
+    texts = spark.createDataFrame(odd, "doc_id bigint, text string").unionByName(docs.select("doc_id", "text").limit(300)).collect()
+    found = {r.doc_id: r for r in P.encoded(spark, spark.createDataFrame(texts, "doc_id bigint, text string"), sf_dir).collect()}
+    library = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path())
+    assert len(found) == len(texts) > len(odd)
+    for d, text in texts:
+        spans, data = list(zip(found[d].spans[::2], found[d].spans[1::2], strict=True)), (text or "").encode()
+        pieces = library.encode(text or "", return_type="proto").pieces
+        assert len(spans) == found[d].n_tokens == len(pieces) and b"".join(data[a:b] for a, b in spans) == data
+        # bytes of one character have a span each; the library gives the last of them all of it
+        assert [s for s, p in zip(spans, pieces, strict=True) if not p.piece.startswith("<0x")] == [(p.begin, p.end) for p in pieces if not p.piece.startswith("<0x")]
+
+
 def test_stages_stand_odd_rows(spark, sf_dir):
     text = "one two three four five six seven"
     odd = [(1, None, None, None, None), (None, text, "en", "a", 1), (2, text, "en", "b", 2), (2, text, "en", "b", 2), (3, "", None, None, 0)]
